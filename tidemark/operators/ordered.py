@@ -169,6 +169,11 @@ def past_totals(
     )
 
 
+def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row aggregate next to every row."""
+    return df.join(F.broadcast(one_row))
+
+
 def value_positions(
     df: DataFrame, groups: Sequence[str], value: str, chunks: int | None = None
 ) -> DataFrame:
@@ -196,21 +201,25 @@ def average_ranks(
 
 
 def exact_quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probabilities: Mapping[str, float],
-    chunks: int | None = None,
+    df: DataFrame, groups: Sequence[str], value: str,
+    probabilities: Mapping[str, float | Column], chunks: int | None = None,
 ) -> DataFrame:
     """Interpolated quantiles per group without holding a group in one task.
 
     Place ``h = (n - 1) * p`` falls between two sorted values; each is found as
-    the distinct value whose run of places covers it.
+    the distinct value whose run of places covers it. A probability may be a
+    column over ``group_rows`` and ``group_values`` (rows and distinct values).
     """
     placed = value_positions(df, groups, value, chunks)
-    sizes = placed.groupBy(*groups).agg(F.sum("ties").alias("__n"))
+    sizes = placed.groupBy(*groups).agg(
+        F.sum("ties").alias("group_rows"), F.count("*").alias("group_values")
+    )
     sized = (join_null_safe(placed, sizes, groups) if groups
-             else placed.crossJoin(F.broadcast(sizes)))
+             else attach_scalars(placed, sizes))
     picks = []
     for name, share in probabilities.items():
-        spot = (F.col("__n") - 1) * F.lit(float(share))
+        part = share if isinstance(share, Column) else F.lit(float(share))
+        spot = (F.col("group_rows") - 1) * part
         low, high = F.floor(spot), F.ceil(spot)
         upto = F.col("below") + F.col("ties")
         picks += [

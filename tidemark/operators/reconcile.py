@@ -4,8 +4,8 @@ All members of a group get the same shift in log-odds, which keeps their order.
 The sum grows with the shift, so the shift is found by narrowing an interval.
 Each pass is one grouped aggregation that evaluates ``SECTIONS - 1`` shifts at
 once (partial sums are combined map-side), so a group may be any size: its
-members are never gathered. A closing Newton step takes the remaining width
-(below 1e-7) to rounding error.
+members are never gathered. Newton steps take the remaining width (about 1e-3)
+to rounding error, never leaving the interval.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clip
 from tidemark.operators.guards import require_no_rows
-from tidemark.operators.ordered import join_null_safe
+from tidemark.operators.ordered import chunk_count, join_null_safe
 
 # Clipping of probabilities and the span of log-odds shifts.
 EPSILON = 1e-9
 SPAN = 40.0
-SECTIONS = 64
-PASSES = 5
+SECTIONS = 16
+PASSES = 4
+NEWTON_STEPS = 3
 
 
 def _sigmoid(x: Column) -> Column:
@@ -36,12 +37,15 @@ def _logit(p: Column) -> Column:
 
 
 def shared_shift(
-    df: DataFrame, groups: Sequence[str], probability: str, target: Column
+    df: DataFrame, groups: Sequence[str], probability: str, target: Column,
+    gather: bool | None = None,
 ) -> DataFrame:
     """Log-odds shift per group: ``groups, members, target, before, shift``.
 
     ``target`` is an expression over the group columns; it is capped at the
-    group's size, where every member becomes 1 (``shift`` is NULL then).
+    group's size, where every member becomes 1 (``shift`` is NULL then). A table
+    planned to be smaller than one chunk (see :mod:`ordered`) is solved in one
+    aggregation that gathers its groups; ``gather`` overrides that choice.
     """
     folded = df.groupBy(*groups, F.col(probability).cast("double").alias("__p")).agg(
         F.count("*").alias("__c")
@@ -49,37 +53,58 @@ def shared_shift(
     totals = folded.groupBy(*groups).agg(
         F.sum("__c").alias("members"), F.sum(F.col("__c") * F.col("__p")).alias("before")
     ).withColumn("target", F.least(target.cast("double"), F.col("members").cast("double")))
+    facts = ["members", "before", "target"]
+    if gather is None:
+        gather = chunk_count(df) == 1
+    if gather:
+        return _gathered_shift(folded, groups, target)
+    kept = [f"max({c}) AS {c}" for c in (*facts, "__lo", "__hi")]
+    sums = ", ".join(
+        f"sum(__c / (1 + exp(-(__l + __lo + (__hi - __lo) * {j / SECTIONS!r}D))))"
+        for j in range(1, SECTIONS))
     bounds = totals.withColumns({"__lo": F.lit(-SPAN), "__hi": F.lit(SPAN)})
-    steps = range(1, SECTIONS)
     for _ in range(PASSES):
-        rows = join_null_safe(folded, bounds.select(*groups, "__lo", "__hi"), groups)
-        width = (F.col("__hi") - F.col("__lo")) / SECTIONS
-        sums = rows.groupBy(*groups).agg(*[
-            F.sum(F.col("__c") * _sigmoid(F.col("__l") + F.col("__lo") + width * j))
-            .alias(f"__s{j}") for j in steps
-        ])
-        met = join_null_safe(bounds, sums, groups)
-        short = sum(
-            (F.when(F.col(f"__s{j}") < F.col("target"), 1).otherwise(0) for j in steps), F.lit(0)
-        )
-        bounds = met.withColumn("__k", short).select(
-            *groups, "members", "before", "target",
-            (F.col("__lo") + width * F.col("__k")).alias("__lo"),
-            (F.col("__lo") + width * (F.col("__k") + 1)).alias("__hi"),
-        )
-    middle = bounds.withColumn("__m", (F.col("__lo") + F.col("__hi")) / 2)
-    rows = join_null_safe(folded, middle.select(*groups, "__m"), groups)
-    p = _sigmoid(F.col("__l") + F.col("__m"))
-    slope = rows.groupBy(*groups).agg(
-        F.sum(F.col("__c") * p).alias("__f"), F.sum(F.col("__c") * p * (1 - p)).alias("__d"))
-    final = join_null_safe(middle, slope, groups)
-    newton = F.col("__m") - F.coalesce(
-        F.try_divide(F.col("__f") - F.col("target"), F.col("__d")), F.lit(0.0))
-    inside = F.least(F.greatest(newton, F.col("__lo")), F.col("__hi"))
-    return final.select(
+        # The interval and the group's facts ride along, so each pass reads the
+        # previous one once and the plan grows by one join per pass.
+        rows = join_null_safe(folded, bounds, groups)
+        met = rows.groupBy(*groups).agg(
+            *[F.expr(e) for e in kept], F.expr(f"array({sums})").alias("__s"))
+        bounds = met.withColumn(
+            "__k", F.expr("size(filter(__s, total -> total < target))")
+        ).selectExpr(
+            *[f"`{g}`" for g in groups], *facts,
+            f"__lo + (__hi - __lo) / {SECTIONS} * __k AS __lo",
+            f"__lo + (__hi - __lo) / {SECTIONS} * (__k + 1) AS __hi")
+    at = bounds.withColumn("__m", F.expr("(__lo + __hi) / 2"))
+    for _ in range(NEWTON_STEPS):
+        met = join_null_safe(folded, at, groups).withColumn(
+            "__p1", F.expr("1 / (1 + exp(-(__l + __m)))")
+        ).groupBy(*groups).agg(
+            *[F.expr(e) for e in (*kept, "max(__m) AS __m")],
+            F.expr("sum(__c * __p1)").alias("__f"),
+            F.expr("sum(__c * __p1 * (1 - __p1))").alias("__d"))
+        step = "__m - coalesce(try_divide(__f - target, __d), 0D)"
+        at = met.selectExpr(
+            *[f"`{g}`" for g in groups], *facts, "__lo", "__hi",
+            f"least(greatest({step}, __lo), __hi) AS __m")
+    return at.select(
+        *groups, *facts, F.when(F.col("target") < F.col("members"), F.col("__m")).alias("shift"))
+
+
+def _gathered_shift(folded: DataFrame, groups: Sequence[str], target: Column) -> DataFrame:
+    """Bisection inside one row per group, for tables checked to be small."""
+    packed = folded.groupBy(*groups).agg(
+        F.sum("__c").alias("members"), F.sum(F.col("__c") * F.col("__p")).alias("before"),
+        F.collect_list(F.struct("__l", "__c")).alias("__all"),
+    ).withColumn("target", F.least(target.cast("double"), F.col("members").cast("double")))
+    total = "aggregate(__all, 0D, (t, m) -> t + m.__c / (1 + exp(-(m.__l + (s.a + s.b) / 2))))"
+    halved = (
+        f"aggregate(sequence(1, 60), named_struct('a', -{SPAN}D, 'b', {SPAN}D), (s, i) -> "
+        f"if({total} < target, named_struct('a', (s.a + s.b) / 2, 'b', s.b), "
+        f"named_struct('a', s.a, 'b', (s.a + s.b) / 2)), s -> (s.a + s.b) / 2)")
+    return packed.select(
         *groups, "members", "before", "target",
-        F.when(F.col("target") < F.col("members"), inside).alias("shift"),
-    )
+        F.when(F.col("target") < F.col("members"), F.expr(halved)).alias("shift"))
 
 
 def reconcile(

@@ -22,6 +22,7 @@ def build_session(app: str = "tidemark", master: str | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master).config(
@@ -32,3 +33,22 @@ def build_session(app: str = "tidemark", master: str | None = None,
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def checkpointed(df):
+    """Cut the lineage of a frame that later jobs build on.
+
+    Uses the checkpoint folder the cluster names. Only where none is set, as in
+    tests, is a temporary one made; on a cluster that folder must be shared.
+    """
+    import tempfile
+
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -45,13 +45,25 @@ def chunk_count(df: DataFrame) -> int:
     return int(min(MAX_CHUNKS, max(8, math.ceil(size / max(limit, 1)))))
 
 
+def clock_seconds(column: Column) -> Column:
+    """Seconds since 1970 on the clock a zone-less timestamp shows, as DOUBLE.
+
+    A cast to TIMESTAMP would go through the session's zone, where summer time
+    can put a later clock reading first.
+    """
+    return (
+        F.unix_date(F.to_date(column)) * F.lit(86400.0) + F.hour(column) * 3600
+        + F.minute(column) * 60 + F.date_part(F.lit("SECOND"), column).cast("double")
+    )
+
+
 def _as_double(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     column = F.col(name)
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("double")
     if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(column.cast("timestamp")).cast("double")
+        return clock_seconds(column)
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(column).cast("double")
     if isinstance(kind, T.NumericType):

@@ -107,24 +107,26 @@ def distribution_summary(
     return out.select("column", "quantile", "value")
 
 
-def inclusion_rates(squads: DataFrame, ids: str, size: int | None = None) -> DataFrame:
-    """Share of squads (percent) that include each member."""
-    total = squads.agg(F.count("*").alias("__n"))
-    counts = squads.select(F.explode(ids).alias("player_id")).groupBy("player_id").agg(
-        F.count("*").alias("__c"))
+def inclusion_rates(members: DataFrame, squad_id: str, member: str) -> DataFrame:
+    """Share of squads (percent) that include each member.
+
+    ``members`` has a row per squad and member; explode id arrays to get it.
+    """
+    total = members.agg(F.count_distinct(squad_id).alias("__n"))
+    counts = members.groupBy(member).agg(F.count_distinct(squad_id).alias("__c"))
     return counts.join(F.broadcast(total)).select(
-        "player_id", (F.col("__c") * 100.0 / F.col("__n")).alias("generated_percent"))
+        member, (F.col("__c") * 100.0 / F.col("__n")).alias("generated_percent"))
 
 
 def inclusion_calibration(
-    squads: DataFrame, ids: str, population: DataFrame, rate: str
+    members: DataFrame, squad_id: str, member: str, population: DataFrame, rate: str
 ) -> DataFrame:
     """Correlation and mean absolute gap between inclusion and population rates.
 
     Members that no squad includes have rate 0.
     """
     joined = population.filter(F.col(rate).isNotNull()).join(
-        inclusion_rates(squads, ids), "player_id", "left")
+        inclusion_rates(members, squad_id, member), member, "left")
     generated = F.coalesce("generated_percent", F.lit(0.0))
     return joined.select(F.col(rate).cast("double").alias("r"), generated.alias("g")).agg(
         guarded_pearson(F.col("r"), F.col("g")).alias("pearson_correlation"),

@@ -1,0 +1,5 @@
+"""Registered queries: name -> (Spark query, oracle SQL or None)."""
+
+from tidemark.queries import evaluation, temporal
+
+REGISTRY = {**temporal.QUERIES, **evaluation.QUERIES}

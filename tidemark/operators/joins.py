@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import fold, match_key
 from tidemark.operators.guards import ContractError, require_no_rows, require_unique
+from tidemark.operators.ordered import exact_quantiles
 
 
 def unmapped(facts: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -188,9 +189,8 @@ def match_names(
 
 
 def reading_consensus(scores: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
-    """Blend several readings of one name: 0.55 best + 0.45 median.
-
-    Readings per name are a handful (one per recognition pass).
-    """
-    return scores.groupBy(*keys).agg(
-        (0.55 * F.max(score) + 0.45 * F.median(score)).alias("score"))
+    """Blend several readings of one name: 0.55 of the best, 0.45 of the median."""
+    best = scores.groupBy(*keys).agg((0.55 * F.max(score)).alias("__best"))
+    middle = exact_quantiles(scores, keys, score, {"__middle": 0.5})
+    return best.join(middle, list(keys)).select(
+        *keys, (F.col("__best") + 0.45 * F.col("__middle")).alias("score"))

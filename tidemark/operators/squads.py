@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.guards import ContractError, require_no_rows
+from tidemark.operators.ordered import exact_quantiles
 from tidemark.operators.rules import SquadRules
 
 PLAYER_COLUMNS = ("player_id", "club_id", "position_id", "price")
@@ -360,8 +361,11 @@ def history_readiness(
 ) -> DataFrame:
     """Median recent history per squad and whether it is enough to simulate.
 
-    A squad is a bounded group; squads without any value have a median of 0.
+    Squads without any value have a median of 0.
     """
-    return members.groupBy(squad_id).agg(
-        F.coalesce(F.median(F.col(available).cast("double")), F.lit(0.0)).alias("median_history")
-    ).withColumn("ready", F.col("median_history") >= minimum)
+    known = members.filter(F.col(available).isNotNull())
+    middle = exact_quantiles(known, [squad_id], available, {"median_history": 0.5})
+    everyone = members.select(squad_id).distinct()
+    return everyone.join(middle, squad_id, "left").select(
+        squad_id, F.coalesce("median_history", F.lit(0.0)).alias("median_history"),
+        (F.coalesce("median_history", F.lit(0.0)) >= minimum).alias("ready"))

@@ -82,10 +82,10 @@ CALIBRATION_BINS = f"""
 WITH {FORECASTS_SQL},
 o AS (SELECT model, prediction, row_number() OVER (PARTITION BY model ORDER BY prediction) - 1 AS i,
   count(*) OVER (PARTITION BY model) AS n FROM f),
-h AS (SELECT DISTINCT model, k, (n - 1) * (k * 0.1::DOUBLE) AS h FROM o, range(11) AS r(k)),
-e AS (SELECT h.model, k, lo.prediction + (hi.prediction - lo.prediction) * (h - floor(h)) AS edge
-  FROM h JOIN o lo ON lo.model = h.model AND lo.i = floor(h)
-  JOIN o hi ON hi.model = h.model AND hi.i = ceil(h)),
+h AS (SELECT model, k, prediction, i, (n - 1) * (k * 0.1::DOUBLE) AS h FROM o, range(11) AS r(k)),
+q AS (SELECT model, k, max(prediction) FILTER (WHERE i = floor(h)) AS lo,
+  max(prediction) FILTER (WHERE i = ceil(h)) AS hi, any_value(h) AS h FROM h GROUP BY 1, 2),
+e AS (SELECT model, k, lo + (hi - lo) * (h - floor(h)) AS edge FROM q),
 d AS (SELECT model, list(DISTINCT edge) AS edges FROM e GROUP BY 1),
 b AS (SELECT f.*, greatest(len(list_filter(edges, lambda x: x < prediction)), 1) AS bin
   FROM f JOIN d USING (model))

@@ -263,13 +263,14 @@ def best_lineup(
     packed = top.groupBy(squad_id).agg(
         F.collect_list(F.struct("id", "position", "points")).alias("__m"))
     ranked = [_ranked(F.col("__m"), p.position_id) for p in rules.positions]
-    chosen = packed.select(squad_id, _best_formation(rules, ranked).alias("__best"))
-    out = chosen.filter("__best IS NOT NULL").select(
-        squad_id, F.col("__best.points").alias("starting_xi_points"),
-        F.col("__best.ids").alias("starting_xi"),
-        F.col("__best.order")[0]["id"].alias("captain"),
-        F.try_element_at(F.col("__best.order"), F.lit(2))["id"].alias("vice_captain"),
-        (-F.col("__best.order")[0]["loss"]).alias("captain_points"),
+    # inline() evaluates the choice once and drops squads without a formation.
+    chosen = packed.select(
+        squad_id, F.inline(F.array_compact(F.array(_best_formation(rules, ranked)))))
+    out = chosen.select(
+        squad_id, F.col("points").alias("starting_xi_points"), F.col("ids").alias("starting_xi"),
+        F.col("order")[0]["id"].alias("captain"),
+        F.try_element_at(F.col("order"), F.lit(2))["id"].alias("vice_captain"),
+        (-F.col("order")[0]["loss"]).alias("captain_points"),
     )
     if not bench:
         return out

@@ -126,8 +126,8 @@ def best_replacements(
 
     Members are not paired with all players of their position. Prices are whole
     ticks; each player enters the power-of-two price blocks that contain its
-    price, and a block keeps only its best players. A member looks up the few
-    blocks that make up ``0..limit``. A squad rules out at most ``squad_size``
+    price, and a block keeps only its best players. The few blocks that make up
+    ``0..limit`` give the short list of a limit. A squad rules out at most ``squad_size``
     players by holding them and ``squad_size // max_per_club`` clubs by the cap,
     so the best ``max_per_club + 1`` players of the best
     ``squad_size // max_per_club + squad_size + 1`` clubs of a block always
@@ -138,48 +138,53 @@ def best_replacements(
     clubs = squad_size // max_per_club + squad_size + 1
     require_no_rows(pool.filter((F.col("price_ticks") < 0) | (F.col("price_ticks") > max_price))
                     .select("player_id", "price_ticks"), "prices outside 0..max_price")
-    best = F.struct(F.col("points").cast("double").alias("points"),
-                    (-F.col("player_id")).alias("minus_id"))
     entries = pool.select(
-        "position_id", "club_id", best.alias("__best"),
+        "position_id", "club_id", F.col("points").cast("double").alias("points"), "player_id",
         F.explode(_blocks_of(F.col("price_ticks").cast("bigint"), levels)).alias("__b"),
-    ).select("position_id", "club_id", "__best", "__b.level", "__b.block")
-    cell = ["position_id", "level", "block"]
-    in_club = Window.partitionBy(*cell, "club_id").orderBy(F.desc("__best"))
-    kept = entries.withColumn("__r", F.row_number().over(in_club)).filter(
-        F.col("__r") <= per_club)
-    leaders = kept.filter("__r = 1").withColumn(
-        "__c", F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc("__best")))
-    ).filter(F.col("__c") <= clubs).select(*cell, "club_id")
-    lists = kept.join(leaders, [*cell, "club_id"], "left_semi").groupBy(*cell).agg(
-        F.collect_list(F.struct("__best", "club_id")).alias("__list"))
-    holdings = members.groupBy(squad_id).agg(
-        F.collect_list(F.struct("player_id", "club_id")).alias("__held"))
-    asked = members.join(holdings, squad_id).select(
-        squad_id, "player_id", "position_id", "club_id", "__held",
-        F.explode(_blocks_upto(
-            F.least(F.col("limit_ticks").cast("bigint"), F.lit(max_price)), levels)).alias("__b"),
-    ).select(squad_id, "player_id", "position_id", "club_id", "__held", "__b.level", "__b.block")
-    met = asked.join(lists, cell)
-    left = F.filter("__held", lambda h: h["player_id"] != F.col("player_id"))
-
-    def free(entry: Column) -> Column:
-        held = F.exists("__held", lambda h: h["player_id"] == -entry["__best"]["minus_id"])
-        same = F.size(F.filter("__left", lambda h: h["club_id"] == entry["club_id"]))
-        return ~held & (same < max_per_club)
-
-    choice = met.withColumn("__left", left).select(
-        squad_id, "player_id",
-        F.array_max(F.transform(F.filter("__list", free), lambda e: F.struct(
-            e["__best"].alias("best"), e["club_id"].alias("club")))).alias("__pick"))
-    return choice.filter("__pick IS NOT NULL").groupBy(squad_id, "player_id").agg(
-        F.max("__pick").alias("__pick")
-    ).select(
-        squad_id, F.col("player_id").alias("out_id"),
-        (-F.col("__pick.best.minus_id")).alias("in_id"),
-        F.col("__pick.best.points").alias("in_points"),
-        F.col("__pick.club").alias("in_club"),
-    )
+    ).select("position_id", "club_id", "points", "player_id", "__b.level", "__b.block")
+
+    def shortlist(rows: DataFrame, cell: list[str]) -> DataFrame:
+        in_club = Window.partitionBy(*cell, "club_id").orderBy(
+            F.desc("points"), F.asc("player_id"))
+        kept = rows.withColumn("__r", F.row_number().over(in_club)).filter(
+            F.col("__r") <= per_club)
+        lead = Window.partitionBy(*cell, "club_id").orderBy("__r")
+        by_lead = Window.partitionBy(*cell).orderBy(
+            F.desc("__lead.points"), F.asc("__lead.player_id"))
+        ranked = kept.withColumn(
+            "__lead", F.first(F.struct("points", "player_id")).over(lead)
+        ).withColumn("__c", F.dense_rank().over(by_lead))
+        return ranked.filter(F.col("__c") <= clubs).drop("__r", "__lead", "__c")
+
+    blocks = shortlist(entries, ["position_id", "level", "block"])
+    limited = members.withColumn(
+        "__limit", F.least(F.col("limit_ticks").cast("bigint"), F.lit(max_price)))
+    # Each (position, limit) is resolved once, however many members ask for it.
+    asked = limited.select("position_id", "__limit").distinct().select(
+        "position_id", "__limit",
+        F.explode(_blocks_upto(F.col("__limit"), levels)).alias("__b"),
+    ).select("position_id", "__limit", "__b.level", "__b.block")
+    cheap = asked.join(blocks, ["position_id", "level", "block"]).select(
+        "position_id", "__limit", "club_id", "points", "player_id")
+    lists = shortlist(cheap, ["position_id", "__limit"]).groupBy("position_id", "__limit").agg(
+        F.collect_list(F.struct(
+            "points", (-F.col("player_id")).alias("minus_id"), "club_id")).alias("__list"))
+    # Clubs at the cap are closed, unless the leaving member opens a place. The
+    # lists are built per squad, ahead of the join, and so only once.
+    counted = members.groupBy(squad_id, "club_id").agg(
+        F.count("*").alias("__n"), F.collect_list("player_id").alias("__ids"))
+    holdings = counted.groupBy(squad_id).agg(
+        F.flatten(F.collect_list("__ids")).alias("__held"),
+        F.collect_list(F.when(F.col("__n") > max_per_club, F.col("club_id"))).alias("__over"),
+        F.collect_list(F.when(F.col("__n") == max_per_club, F.col("club_id"))).alias("__at_cap"))
+    met = limited.join(lists, ["position_id", "__limit"]).join(holdings, squad_id)
+    pick = F.expr(
+        "inline(array_compact(array(array_max(filter(__list, e -> "
+        "NOT array_contains(__held, -e.minus_id) AND NOT array_contains(__over, e.club_id) "
+        "AND (e.club_id = club_id OR NOT array_contains(__at_cap, e.club_id)))))))")
+    return met.select(squad_id, "player_id", pick).select(
+        squad_id, F.col("player_id").alias("out_id"), (-F.col("minus_id")).alias("in_id"),
+        F.col("points").alias("in_points"), F.col("club_id").alias("in_club"))
 
 
 def squad_value(members: Column, rules: SquadRules, bench_weight: float) -> Column:

@@ -11,12 +11,13 @@ from tidemark.operators.joins import inner_with_suffix
 from tidemark.operators.rules import SquadRules
 from tidemark.operators.sampling import product_subsets, successive_draws
 from tidemark.operators.squads import adjust_for_availability, best_lineup, legal_draws, project
+from tidemark.session import checkpointed
 
 # Strategies, smallest ownership, least share of budget to spend.
 STRATEGIES = ("broad_legal", "human_like", "price_aware", "ownership_weighted")
 OWNERSHIP_STEP = 0.1
 SPEND_FLOOR = 0.85
-MAX_ROUNDS = 8
+MAX_ROUNDS = 5
 
 
 def draw_weight(strategy: str):
@@ -78,7 +79,7 @@ def reference_population(
         attempts *= 4
     else:
         raise ContractError("too few legal squads; check coverage, prices and the cost band")
-    rows = members.join(chosen, "squad_id")
+    rows = checkpointed(members.join(chosen, "squad_id"))
     best = best_lineup(rows, rules, "squad_id", "player_id", "position_id",
                        "availability_adjusted_points").drop(
         "starting_xi_points", "bench_points", "captain_points")

@@ -1,5 +1,5 @@
 """Registered queries: name -> (Spark query, oracle SQL or None)."""
 
-from tidemark.queries import evaluation, squads, temporal
+from tidemark.queries import evaluation, pipelines, squads, temporal
 
-REGISTRY = {**temporal.QUERIES, **evaluation.QUERIES, **squads.QUERIES}
+REGISTRY = {**temporal.QUERIES, **evaluation.QUERIES, **squads.QUERIES, **pipelines.QUERIES}

@@ -11,8 +11,8 @@ operators here cut the order axis into chunks first, run the window inside
    is cut again by the next order column.
 3. Chunk totals are combined map-side; a key has at most ``chunks`` of them.
 
-Inputs whose planned size is below ``spark.tidemark.chunkBytes`` use the plain
-window: the whole table is then smaller than one chunk would be.
+Where the tables read are together below ``spark.tidemark.chunkBytes`` the plain
+window is used: all the data is then smaller than one chunk would be.
 """
 
 from __future__ import annotations
@@ -31,9 +31,13 @@ MAX_CHUNKS = 4096
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (an upper guess for joins)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    """Bytes of the tables a plan reads, without column pruning.
+
+    The optimizer's own estimate multiplies the sides of a join, which says
+    little about the rows of a lookup; the size of what is read does.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def chunk_count(df: DataFrame) -> int:

@@ -67,7 +67,10 @@ if __name__ == "__main__":
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     wanted = sys.argv[1:] or list(REGISTRY)
-    spark = build_session(master="local[8]", shuffle_partitions=8)
+    extra = {}
+    if "CHUNK_BYTES" in os.environ:  # force the path that large inputs take
+        extra["spark__tidemark__chunkBytes"] = os.environ["CHUNK_BYTES"]
+    spark = build_session(master="local[8]", shuffle_partitions=8, **extra)
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(folder)
     for name in wanted:

@@ -157,6 +157,11 @@ def best_replacements(
         return ranked.filter(F.col("__c") <= clubs).drop("__r", "__lead", "__c")
 
     blocks = shortlist(entries, ["position_id", "level", "block"])
+    # The lists are long enough for squads of the stated size; larger ones are
+    # no squads, and are left out before anything is gathered per squad.
+    sizes = members.groupBy(squad_id).agg(F.count("*").alias("__n")).filter(
+        F.col("__n") <= squad_size)
+    members = members.join(sizes.select(squad_id), squad_id, "left_semi")
     limited = members.withColumn(
         "__limit", F.least(F.col("limit_ticks").cast("bigint"), F.lit(max_price)))
     # Each (position, limit) is resolved once, however many members ask for it.

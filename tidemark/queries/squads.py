@@ -109,7 +109,9 @@ def q_single_swap(spark, folder):
 
 
 SINGLE_SWAP = f"""
-WITH h AS (SELECT DISTINCT l_orderkey AS squad_id, l_partkey AS out_id FROM lineitem),
+WITH z AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) <= {SWAP_SIZE}),
+h AS (SELECT DISTINCT l_orderkey AS squad_id, l_partkey AS out_id FROM lineitem
+  JOIN z USING (l_orderkey)),
 m AS (SELECT h.*, p_brand, p_type, p_retailprice, p_size FROM h JOIN part ON p_partkey = out_id),
 k AS (SELECT squad_id, p_type, count(*) AS n FROM m GROUP BY 1, 2),
 c AS (SELECT m.squad_id, m.out_id, p.p_partkey AS in_id,

@@ -13,7 +13,14 @@ from tidemark.operators.managers import pick_violations
 from tidemark.operators.sets import disjoint_union
 from tidemark.sources import payloads
 from tidemark.sources.archive import file_inventory, relative_to, verify_inventory
-from tidemark.sources.runs import read_versions, register_views, registry, run_id, write_run
+from tidemark.sources.runs import (
+    load_training,
+    read_versions,
+    register_views,
+    registry,
+    run_id,
+    write_run,
+)
 
 UTC = dt.timezone.utc
 
@@ -159,3 +166,16 @@ def test_horizons():
     for bad in ([], [0], [True], [1, 1], [1.5]):
         with pytest.raises(ContractError):
             validate_horizons(bad)
+
+
+def test_training_tables_unite_by_name(spark, tmp_path):
+    keys = ["season", "snapshot_gameweek", "player_id"]
+    schema = "season string, snapshot_gameweek int, player_id int, {} double"
+    for name, column, player in (("a", "x", 1), ("b", "y", 2)):
+        spark.createDataFrame([("s", 1, player, 1.0)], schema.format(column)).write.parquet(
+            str(tmp_path / name))
+    paths = [str(tmp_path / n) for n in ("a", "b")]
+    out = load_training(spark, paths, keys)
+    assert {"x", "y", "training_source_file"} <= set(out.columns) and out.count() == 2
+    with pytest.raises(ContractError):
+        load_training(spark, [paths[0], paths[0]], keys)

@@ -18,7 +18,11 @@ from tidemark.operators.managers import (
     selection_rates,
     squad_costs,
 )
-from tidemark.operators.ratings import inclusion_calibration, percentile_scores
+from tidemark.operators.ratings import (
+    component_ratings,
+    inclusion_calibration,
+    percentile_scores,
+)
 from tidemark.operators.reconcile import reconcile
 from tidemark.operators.rules import PositionRule, SquadRules
 from tidemark.operators.sampling import cluster_sample, product_subsets, successive_draws
@@ -338,6 +342,40 @@ SELECT s_suppkey, round(least(greatest(75 + 8 * {normal_quantile_sql('p')}, 0),
 FROM p"""
 
 
+def q_component_ratings(spark, folder):
+    """Promotional parts rated by size and price against all other parts."""
+    parts = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("squad_id"), "p_type", F.col("p_size").alias("size"),
+        F.col("p_retailprice").alias("price"))
+    promo = F.col("p_type") == "PROMO"
+    out = component_ratings(parts.filter(promo), parts.filter(~promo),
+                            {"size": "size", "price": "price"})
+    return out.select(
+        "squad_id", F.element_at("scores", "size").alias("size_score"),
+        F.element_at("percentiles", "price").alias("price_percentile"),
+        F.array_join("strengths", ",").alias("strengths"),
+        F.array_join("weaknesses", ",").alias("weaknesses"))
+
+
+def _rated_sql(name: str, column: str) -> str:
+    return f"""{name} AS (SELECT a.p_partkey AS squad_id,
+  count(*) FILTER (WHERE b.{column} < a.{column}) + count(*) FILTER (WHERE b.{column} = a.{column})
+    / 2e0 AS h, count(*) AS n FROM part a JOIN part b ON a.p_type = 'PROMO' AND b.p_type <> 'PROMO'
+  GROUP BY 1),
+{name}_s AS (SELECT squad_id, round(100e0 * h / n, 1) AS pct, round(least(greatest(75 + 8 *
+  {normal_quantile_sql('((h + 0.5e0) / (n + 1e0))')}, 0), 99.9e0), 1) AS score FROM {name})"""
+
+
+COMPONENT_RATINGS = f"""
+WITH {_rated_sql('z', 'p_size')}, {_rated_sql('c', 'p_retailprice')}
+SELECT squad_id, z_s.score AS size_score, c_s.pct AS price_percentile,
+  concat_ws(',', CASE WHEN c_s.score >= 85 THEN 'price' END,
+    CASE WHEN z_s.score >= 85 THEN 'size' END) AS strengths,
+  concat_ws(',', CASE WHEN c_s.score <= 65 THEN 'price' END,
+    CASE WHEN z_s.score <= 65 THEN 'size' END) AS weaknesses
+FROM z_s JOIN c_s USING (squad_id)"""
+
+
 def q_probability_reconcile(spark, folder):
     """Customers of a nation rescaled to ten expected ones; sums per nation."""
     customers = table(spark, folder, "customer").select(
@@ -641,6 +679,7 @@ QUERIES = {
     "pick_violations": (q_pick_violations, PICK_VIOLATIONS),
     "midrank_rating": (q_midrank_rating, MIDRANK_RATING),
     "normal_score": (q_normal_score, NORMAL_SCORE),
+    "component_ratings": (q_component_ratings, COMPONENT_RATINGS),
     "probability_reconcile": (q_probability_reconcile, PROBABILITY_RECONCILE),
     "availability_adjust": (q_availability_adjust, AVAILABILITY_ADJUST),
     "horizon_marginals": (q_horizon_marginals, HORIZON_MARGINALS),

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.guards import ContractError
+from tidemark.operators.guards import ContractError, require_columns, require_unique
 from tidemark.operators.temporal import latest_wins
 
 # Fixed value: layout of run ids, UTC with microseconds.
@@ -203,3 +203,9 @@ def load_tables(
     parts = [spark.read.parquet(p).select("*", F.col("_metadata.file_path").alias(tag))
              for p in paths]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def load_training(spark: SparkSession, paths: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Training tables united with their provenance; shared keys are refused."""
+    rows = require_columns(load_tables(spark, paths), keys, "training tables")
+    return require_unique(rows, keys, "training tables")

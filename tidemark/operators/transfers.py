@@ -157,13 +157,25 @@ def best_replacements(
         return ranked.filter(F.col("__c") <= clubs).drop("__r", "__lead", "__c")
 
     blocks = shortlist(entries, ["position_id", "level", "block"])
-    # The lists are long enough for squads of the stated size; larger ones are
-    # no squads, and are left out before anything is gathered per squad.
-    sizes = members.groupBy(squad_id).agg(F.count("*").alias("__n")).filter(
-        F.col("__n") <= squad_size)
-    members = members.join(sizes.select(squad_id), squad_id, "left_semi")
-    limited = members.withColumn(
-        "__limit", F.least(F.col("limit_ticks").cast("bigint"), F.lit(max_price)))
+    # The lists are long enough for squads of the stated size; larger ones are no
+    # squads. The rank limit also applies before the shuffle, so at most one row
+    # too many per squad is ever gathered, and that one tells it is too large.
+    in_squad = Window.partitionBy(squad_id).orderBy("player_id")
+    few = members.select(
+        squad_id, "player_id", "position_id", "club_id",
+        F.least(F.col("limit_ticks").cast("bigint"), F.lit(max_price)).alias("__limit"),
+    ).withColumn("__r", F.row_number().over(in_squad)).filter(F.col("__r") <= squad_size + 1)
+    packed = few.groupBy(squad_id).agg(F.collect_list(F.struct(
+        "player_id", "position_id", "club_id", "__limit")).alias("__m")).filter(
+        F.size("__m") <= squad_size)
+    # Clubs at the cap are closed, unless the leaving member opens a place.
+    clubs_of = "array_distinct(__m.club_id)"
+    taken = "size(filter(__m, m -> m.club_id = c))"
+    limited = packed.select(
+        squad_id, F.col("__m.player_id").alias("__held"),
+        F.expr(f"filter({clubs_of}, c -> {taken} > {max_per_club})").alias("__over"),
+        F.expr(f"filter({clubs_of}, c -> {taken} = {max_per_club})").alias("__at_cap"),
+        F.inline("__m"))
     # Each (position, limit) is resolved once, however many members ask for it.
     asked = limited.select("position_id", "__limit").distinct().select(
         "position_id", "__limit",
@@ -174,15 +186,7 @@ def best_replacements(
     lists = shortlist(cheap, ["position_id", "__limit"]).groupBy("position_id", "__limit").agg(
         F.collect_list(F.struct(
             "points", (-F.col("player_id")).alias("minus_id"), "club_id")).alias("__list"))
-    # Clubs at the cap are closed, unless the leaving member opens a place. The
-    # lists are built per squad, ahead of the join, and so only once.
-    counted = members.groupBy(squad_id, "club_id").agg(
-        F.count("*").alias("__n"), F.collect_list("player_id").alias("__ids"))
-    holdings = counted.groupBy(squad_id).agg(
-        F.flatten(F.collect_list("__ids")).alias("__held"),
-        F.collect_list(F.when(F.col("__n") > max_per_club, F.col("club_id"))).alias("__over"),
-        F.collect_list(F.when(F.col("__n") == max_per_club, F.col("club_id"))).alias("__at_cap"))
-    met = limited.join(lists, ["position_id", "__limit"]).join(holdings, squad_id)
+    met = limited.join(lists, ["position_id", "__limit"])
     pick = F.expr(
         "inline(array_compact(array(array_max(filter(__list, e -> "
         "NOT array_contains(__held, -e.minus_id) AND NOT array_contains(__over, e.club_id) "

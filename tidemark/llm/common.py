@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows handed to a Python worker at once. Texts may be very long, so few.
-ROWS_PER_BATCH = 512
+ROWS_PER_BATCH = 128
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -5,16 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import token_digests
+from tidemark.llm.fuzzylines import dedup_lines
+from tidemark.llm.positional import contamination
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.toxicity import fit_toxicity, toxicity_scores
 from tidemark.queries.common import table
 
 
+def op2_bpe_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    import public_tokenizers
+
+    return token_digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_positional_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark words and items found in every document."""
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op8_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """What line deduplication leaves of every document."""
+    kept = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"),
+                       F.sha2(F.coalesce("_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_simhash_covering(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_toxicity_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document, learnt from labels that are not held out."""
+    docs = table(spark, folder, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, table(spark, folder, "labels")))
+
+
 QUERIES = {
+    "op2_bpe_tree": (op2_bpe_tree, None),
+    "op8_fuzzy_lines": (op8_fuzzy_lines, None),
+    "op5_positional_index": (op5_positional_index, None),
     "op9_simhash_covering": (op9_simhash_covering, None),
+    "op10_toxicity_trees": (op10_toxicity_trees, None),
 }

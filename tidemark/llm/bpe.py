@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -24,7 +25,7 @@ MARGIN = 32
 CHUNK, REMEMBERED = 64, 300_000
 
 # White space to Python's split() but not to the tokenizer's patterns.
-_OTHER_SPACE = re.compile("[\x1c-\x1f᠎]")
+_OTHER_SPACE = re.compile("[\x1c-\x1f\u180e]")
 _CHUNKS = re.compile(r"\S+")
 
 
@@ -113,6 +114,12 @@ class Encoder:
         return Node(at, at + len(text), grid[:, 0], grid[:, 1], ids)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process, kept from task to task."""
+    return Encoder(path)
+
+
 def _lone(node: Node, first: int, last: int) -> dict[tuple[int, int], int]:
     """Units first..last-1 by their place, without those that share a place or are empty."""
     out: dict[tuple[int, int], int] = {}
@@ -171,7 +178,7 @@ def join_tree(nodes: list[Node], text: str, encoder: Encoder) -> bytes:
 
 
 def _encode_short(batches: Iterator[pa.RecordBatch], path: str, finish) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
+    encoder = encoder_of(path)
     for batch in batches:
         yield finish(batch.column("doc_id"), [encoder.encode(t) for t in batch.column("text").to_pylist()], encoder)
 
@@ -189,7 +196,7 @@ def _cut(batches: Iterator[pa.RecordBatch], leaf: int) -> Iterator[pa.RecordBatc
 
 
 def _encode_leaves(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
+    encoder = encoder_of(path)
     for batch in batches:
         nodes = [encoder.units(p, at) for at, p in zip(batch.column("at").to_pylist(),
                                                        batch.column("piece").to_pylist())]
@@ -203,7 +210,7 @@ def _encode_leaves(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 
 def _join_leaves(batches: Iterator[pa.RecordBatch], path: str, finish) -> Iterator[pa.RecordBatch]:
     """Leaves come sorted by text; the pieces of one text are held at a time."""
-    encoder = Encoder(path)
+    encoder = encoder_of(path)
     row_id, doc_id, nodes, pieces = None, None, [], []
 
     def done():

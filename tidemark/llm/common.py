@@ -67,6 +67,16 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                        F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
 
 
+def hash_sample(rows: DataFrame, about: int) -> DataFrame:
+    """About ``about`` rows of (doc_id, text), chosen by a hash of their content.
+
+    For fitting only: no result row may depend on being chosen.
+    """
+    share = max(1, rows.count() // about)
+    mark = F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64))
+    return rows.where(F.pmod(mark, F.lit(share)) == 0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import token_digests
 from tidemark.llm.fuzzylines import dedup_lines
+from tidemark.llm.personal import fit_tagger, personal_data
 from tidemark.llm.positional import contamination
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.substrings import repeat_digests
+from tidemark.llm.tokenfiles import round_trip
 from tidemark.llm.toxicity import fit_toxicity, toxicity_scores
+from tidemark.llm.urlrules import judge_urls, literal_rules
+from tidemark.llm.weighted import neighbour_likeness
 from tidemark.queries.common import table
 
 
+def op1_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return neighbour_likeness(table(spark, folder, "documents"))
+
+
 def op2_bpe_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     import public_tokenizers
@@ -20,6 +30,18 @@ def op2_bpe_tree(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids as read back from the token files."""
+    import public_tokenizers
+
+    return round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_column_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its repeated 400-byte strings, as digests."""
+    return repeat_digests(table(spark, folder, "documents"))
+
+
 def op5_positional_index(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark words and items found in every document."""
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -27,6 +49,51 @@ def op5_positional_index(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_personal_tagger(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document."""
+    docs = table(spark, folder, "documents")
+    return personal_data(docs, fit_tagger(docs))
+
+
+# The rules of the query: verdict, host, path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page."""
+    return judge_urls(table(spark, folder, "pages"), literal_rules(spark, URL_RULES))
+
+
+URL_SQL = r"""
+WITH parts AS (
+    SELECT page_id,
+           translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), fitted AS (
+    SELECT page_id, host, path, CASE
+        WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/')
+            THEN 'www.example.com/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/')
+            THEN 'example.com/en/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/'
+    END AS rule FROM parts
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
+FROM fitted
+"""
+
+
 def op8_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     """What line deduplication leaves of every document."""
     kept = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
@@ -47,6 +114,11 @@ def op10_toxicity_trees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_column_suffixes": (op4_column_suffixes, None),
+    "op6_personal_tagger": (op6_personal_tagger, None),
+    "op1_weighted_sampling": (op1_weighted_sampling, None),
+    "op3_token_files": (op3_token_files, None),
+    "op7_url_rules": (op7_url_rules, URL_SQL),
     "op2_bpe_tree": (op2_bpe_tree, None),
     "op8_fuzzy_lines": (op8_fuzzy_lines, None),
     "op5_positional_index": (op5_positional_index, None),

@@ -19,9 +19,9 @@ from tidemark.llm.tagger import KINDS, Tagger, char_classes, train
 # difference lies whole in some window.
 WIDTH, STRIDE = 96, 48
 # Bounds of the training: documents looked at, windows learnt from.
-SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 4000, 2400
+SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 8000, 3000
 # Least mean probability of the labels of a span that the tagger adds.
-SURE = 0.9
+SURE = 0.8
 # Windows decoded at once.
 DECODED = 2048
 
@@ -133,10 +133,10 @@ def _training_windows(text: str, seed: int) -> list[tuple[str, list[int]]]:
     spans = sorted(base_spans(text), key=lambda s: s[1])
     spans = [s for i, s in enumerate(spans) if not i or s[1] >= spans[i - 1][2]]
     out = []
-    for kind, a, b in spans[:3]:
+    for kind, a, b in spans[:2]:
         if b - a > WIDTH // 2:
             continue
-        for changed in (text[a:b], _altered(kind, text[a:b], source)):
+        for changed in (text[a:b], *(_altered(kind, text[a:b], source) for _ in range(3))):
             low = max(0, a - source.randrange(0, WIDTH - len(changed) + 1))
             window = (text[low:a] + changed + text[b:b + WIDTH])[:WIDTH]
             shift = len(changed) - (b - a)

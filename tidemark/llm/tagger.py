@@ -163,7 +163,7 @@ class Tagger:
         return grads
 
 
-def train(cls: np.ndarray, labels: np.ndarray, hidden: int = 16, epochs: int = 8, batch: int = 64,
+def train(cls: np.ndarray, labels: np.ndarray, hidden: int = 16, epochs: int = 10, batch: int = 48,
           rate: float = 0.02, seed: int = 7) -> Tagger:
     """Adam on windows (window, step); the order of the windows is drawn from ``seed``."""
     model = Tagger.fresh(hidden, seed)

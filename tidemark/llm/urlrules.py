@@ -54,14 +54,14 @@ def _nested(rules: DataFrame) -> DataFrame:
     strict = F.when(F.lower(rules["verdict"]) == "block", 1).otherwise(0)
     own = (rules.where(rules["verdict"].isNotNull())
            .select(_key(_labels(host), path).alias("key"), F.concat(host, path).alias("rule"),
-                   F.lower(rules["verdict"]).alias("verdict"), strict.alias("strict"))
+                   F.length(host).alias("host_size"), strict.alias("strict"))
            # Of contradicting rules on one key the blocking one counts.
-           .groupBy("key", "rule").agg(F.max("strict").alias("strict")))
+           .groupBy("key", "rule", "host_size").agg(F.max("strict").alias("strict")))
     prefixes = own.select(F.col("key").alias("inner"), F.explode(F.transform(
         F.sequence(F.lit(1), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n))).alias("key"))
     around = prefixes.join(own, "key")
     return around.groupBy("inner").agg(F.reverse(F.array_sort(F.collect_list(
-        F.struct(F.length("key").alias("size"), "key", "rule", "strict")))).alias("stack")).select(
+        F.struct(F.length("key").alias("size"), "key", "rule", "host_size", "strict")))).alias("stack")).select(
             F.col("inner").alias("key"), "stack")
 
 
@@ -137,7 +137,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     judged = (swept.where("kind = 1 and stack is not null").where(F.size(fitting) > 0)
               .select("host", "path", hit.alias("hit"))
               .groupBy("host", "path").agg(F.max(F.struct(
-                  F.length("hit.rule").alias("size"), F.col("hit.size").alias("inner"), F.col("hit.strict").alias("strict"),
+                  F.length("hit.rule").alias("size"), F.col("hit.host_size").alias("host_size"), F.col("hit.strict").alias("strict"),
                   F.col("hit.rule").alias("rule"))).alias("best"))
               .select("host", "path", "best.rule", F.col("best.strict").alias("strict")))
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(F.col("strict") == 1, "block").otherwise("allow")

@@ -21,7 +21,7 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, o double, i bigint, v double").repartition(7)
 
 
-@pytest.mark.parametrize("chunks", [1, 13])
+@pytest.mark.parametrize("chunks", [None, 1, 13])
 def test_past_totals(skewed, chunks):
     w = Window.partitionBy("k").orderBy("o", "i").rowsBetween(Window.unboundedPreceding, -1)
     want = skewed.select("i", F.coalesce(F.sum("v").over(w), F.lit(0.0)).alias("s"),
@@ -37,7 +37,7 @@ def test_lag_keeps_later_nulls(skewed):
     assert plain.exceptAll(cut).count() == 0 and cut.count() == 3000
 
 
-@pytest.mark.parametrize("chunks", [1, 13])
+@pytest.mark.parametrize("chunks", [None, 1, 13])
 def test_exact_quantiles(skewed, chunks):
     got = exact_quantiles(skewed, ["k"], "o", {"a": 0.1, "m": 0.5, "z": 1.0}, chunks)
     want = skewed.groupBy("k").agg(F.percentile("o", F.array(F.lit(0.1), F.lit(0.5), F.lit(1.0)))
@@ -94,3 +94,10 @@ def test_latest_wins_breaks_ties_by_file(spark):
     df = spark.createDataFrame([(1, "t1", "a", 2), (1, "t2", "a", 4), (1, "t2", "b", 5)],
                                "k int, t string, f string, v int")
     assert [r["v"] for r in latest_wins(df, ["k"], ["t", "f"]).collect()] == [5]
+
+
+def test_windows_are_cut_by_chunk(skewed):
+    """No window's partition is a whole key, whatever the size of the input."""
+    plan = past_totals(skewed, ["k"], ["o", "i"], {"s": F.col("v")})._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line and "__w_" in line]
+    assert windows and all("__chunk" in line.rsplit("], [", 2)[1] for line in windows)

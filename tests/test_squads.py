@@ -1,6 +1,7 @@
 """Legality, projection, line-ups, swaps, ratings and reconciliation."""
 
 import itertools
+import math
 import random
 from statistics import NormalDist
 
@@ -23,6 +24,7 @@ from tidemark.operators.squads import (
 from tidemark.operators.transfers import best_single_swap
 from tidemark.plans.rating import COMPONENTS, rate_squads
 
+# The rules of the game.
 SETTINGS = {"squad_squadsize": 15, "squad_squadplay": 11, "squad_team_limit": 3,
             "squad_total_spend": 1000, "ui_currency_multiplier": 10}
 POSITIONS = [
@@ -30,7 +32,9 @@ POSITIONS = [
     for i, n, s, a, b in ((1, "GKP", 2, 1, 1), (2, "DEF", 5, 3, 5), (3, "MID", 5, 2, 5),
                           (4, "FWD", 3, 1, 3))]
 RULES = SquadRules.from_settings(SETTINGS, POSITIONS)
-XI, BENCH = [1, 3, 4, 5, 8, 9, 10, 11, 13, 14, 15], [2, 6, 7, 12]
+KEEPERS, BACKS, MIDDLE, FRONT = [21, 22], [31, 32, 33, 34, 35], [41, 42, 43, 44, 45], [51, 52, 53]
+SQUAD = KEEPERS + BACKS + MIDDLE + FRONT
+XI, BENCH = [21, 31, 33, 34, 35, 41, 43, 44, 45, 52, 53], [22, 32, 42, 51]
 SCHEMA = ("squad_id int, player_ids array<bigint>, starting_xi array<bigint>, "
           "bench array<bigint>, captain bigint, vice_captain bigint, active_chip string, "
           "budget_limit double")
@@ -38,12 +42,13 @@ SCHEMA = ("squad_id int, player_ids array<bigint>, starting_xi array<bigint>, "
 
 @pytest.fixture(scope="module")
 def players(spark):
-    places = [1] * 2 + [2] * 5 + [3] * 5 + [4] * 3
-    names = ["GKP"] * 2 + ["DEF"] * 5 + ["MID"] * 5 + ["FWD"] * 3
-    prices = [4.5] * 2 + [5.0] * 5 + [6.0] * 5 + [7.0] * 3
-    rows = [(i + 1, i % 5 + 1, places[i], names[i], prices[i], "a" if i < 14 else "d",
-             None if i < 14 else 50, None, float(i + 1), float(i + 1) * 2, float(i + 1) * 4,
-             float(i + 1) * 12) for i in range(15)]
+    """Four points of minutes a point; the last forward is in doubt."""
+    places = [(1, "GKP")] * 2 + [(2, "DEF")] * 5 + [(3, "MID")] * 5 + [(4, "FWD")] * 3
+    prices = [4.0, 5.0, 4.4, 4.8, 5.2, 5.6, 6.0, 5.5, 6.5, 7.5, 8.5, 9.5, 6.2, 7.2, 8.6]
+    points = [3, 2, 4, 1, 5, 2, 3, 6, 2, 7, 4, 5, 3, 8, 6]
+    rows = [(p, i % 6 + 1, *places[i], prices[i], "d" if p == 53 else "a", 75 if p == 53 else None, None,
+             float(points[i]), 2.5 * points[i], 10.0 * points[i], 30.0 * points[i])
+            for i, p in enumerate(SQUAD)]
     return spark.createDataFrame(
         rows, "player_id bigint, club_id bigint, position_id bigint, position_short_name string, "
         "price double, status string, chance_of_playing_this_round int, "
@@ -55,8 +60,8 @@ def squads(spark, *rows):
     return spark.createDataFrame(list(rows), SCHEMA)
 
 
-def squad(number=1, ids=None, xi=XI, bench=BENCH, captain=15, vice=14, chip=None, limit=None):
-    return (number, ids or list(range(1, 16)), xi, bench, captain, vice, chip, limit)
+def squad(number=1, ids=None, xi=XI, bench=BENCH, captain=52, vice=43, chip=None, limit=None):
+    return (number, ids or SQUAD, xi, bench, captain, vice, chip, limit)
 
 
 def test_rules_come_from_settings():
@@ -67,40 +72,48 @@ def test_rules_come_from_settings():
 
 
 def test_legality(spark, players):
+    unknown = [99 if p == 53 else p for p in SQUAD]
     table = squads(
-        spark, squad(1), squad(2, captain=2), squad(3, chip="wildcard"),
-        squad(4, ids=[*range(1, 15), 99], xi=[1, 3, 4, 5, 8, 9, 10, 11, 13, 14, 99], captain=14,
-              vice=13),
-        squad(5, xi=[1, 2, 4, 5, 8, 9, 10, 11, 13, 14, 15], bench=[3, 6, 7, 12]),
-        squad(6, limit=50.0), squad(7, ids=[1, 1, *range(3, 16)], vice=15))
+        spark, squad(1), squad(2, captain=42), squad(3, chip="wildcard"),
+        squad(4, ids=unknown, xi=[99 if p == 53 else p for p in XI]),
+        squad(5, xi=[21, 22, 34, 35, 41, 43, 44, 45, 51, 52, 53], bench=[31, 32, 33, 42]),
+        squad(6, limit=60.0), squad(7, ids=[21, 21, *SQUAD[2:]], vice=52))
     out = {r["squad_id"]: r for r in squad_report(table, players, RULES).collect()}
-    assert out[1]["errors"] == [] and out[1]["formation"] == "3-4-3"
-    assert out[1]["total_cost"] == pytest.approx(85.0)
+    assert out[1]["errors"] == [] and out[1]["formation"] == "4-4-2"
+    assert out[1]["total_cost"] == pytest.approx(94.5)
     assert out[2]["errors"] == ["captain does not start"]
     assert out[3]["errors"] == ["chips are not supported"]
     assert out[4]["errors"] == ["unknown members 99"]
-    assert len(out[5]["errors"]) == 3  # two keepers start, two defenders, none on the bench
+    assert len(out[5]["errors"]) == 3  # two keepers start, two backs, no keeper on the bench
     assert out[6]["errors"] == ["squad is over budget"]
     assert len(out[7]["errors"]) >= 3
 
 
 def test_projection_with_availability(spark, players):
+    """The doubt takes a quarter of the first week: 15 - 6 / 4 points, 180 - 60 / 4 minutes."""
     points = adjust_for_availability(players, "predicted_points_3", "predicted_points_1")
     row = project(squads(spark, squad()), points, RULES).first()
     assert (row["gkp_points"], row["def_points"], row["mid_points"], row["fwd_points"]) == (
-        2, 24, 76, 76.5)
-    assert row["bench_points"] == 54 and row["captain_points"] == 22.5
-    assert row["overall_points"] == 201
+        7.5, 35, 55, 33.5)
+    assert row["bench_points"] == 20 and row["captain_points"] == 20
+    assert row["overall_points"] == 151
     details = member_details(squads(spark, squad()), points, minutes="predicted_minutes_3",
                              first_minutes="predicted_minutes_1")
-    last = details.filter("player_id = 15").first()
-    assert last["availability_adjusted_minutes"] == 150 and last["lineup_role"] == "starter"
+    last = details.filter("player_id = 53").first()
+    assert last["availability_adjusted_minutes"] == 165 and last["lineup_role"] == "starter"
     with pytest.raises(ContractError):
         adjust_for_availability(
             players.withColumn("chance_of_playing_this_round", F.lit(120)), "predicted_points_3",
             "predicted_points_1")
 
 
+def test_oversized_squads_fail(spark):
+    rows = [(1, i, 1 + i % 4, 1.0) for i in range(16)]
+    df = spark.createDataFrame(rows, "s int, id bigint, pos int, pts double")
+    with pytest.raises(ContractError):
+        best_lineup(df, RULES, "s", "id", "pos", "pts")
+
+
 def brute_lineup(members):
     best = None
     for counts in RULES.formations():
@@ -184,11 +197,11 @@ def test_best_single_swap_is_exact(spark, free):
 
 def test_captain_fallback_value(spark, players):
     pair = spark.createDataFrame(
-        [(1, 30.0, 28.0, 0.0, 1.0)], "squad_id int, c1 double, v1 double, pc double, pv double")
+        [(1, 19.0, 16.0, 0.0, 1.0)], "squad_id int, c1 double, v1 double, pc double, pv double")
     steps = marginals(pair, ["squad_id", "pc", "pv"], {1: "c1"}, 1).withColumnRenamed(
-        "value", "captain").withColumn("vice", F.lit(28.0))
+        "value", "captain").withColumn("vice", F.lit(16.0))
     row = captain_value(steps, ["squad_id"], "captain", "vice", "pc", "pv").first()
-    assert row["captain_points"] == pytest.approx(28.0)
+    assert row["captain_points"] == pytest.approx(16.0)
 
 
 @pytest.mark.parametrize("chunks", [1, 7])
@@ -222,12 +235,20 @@ def test_lineup_roles_sum_to_targets(spark):
                           "position", "start", "app")
 
 
-def test_gathered_and_distributed_shift_agree(spark):
+def test_shift_solves_every_group(spark):
+    """By bisection in Python: also targets of none and of all members."""
     df = spark.range(600).select((F.col("id") % 3).alias("g"),
                                  (F.pmod(F.hash("id"), F.lit(997)) / 997.0).alias("p"))
-    a = {r["g"]: r["shift"] for r in shared_shift(df, ["g"], "p", F.lit(10.0), True).collect()}
-    b = {r["g"]: r["shift"] for r in shared_shift(df, ["g"], "p", F.lit(10.0), False).collect()}
-    assert a == pytest.approx(b, abs=1e-9)
+    members = {}
+    for r in df.collect():
+        members.setdefault(r["g"], []).append(min(max(r["p"], 1e-9), 1 - 1e-9))
+    for target in (10.0, 150.0):
+        found = {r["g"]: r["shift"] for r in shared_shift(df, ["g"], "p", F.lit(target)).collect()}
+        for g, ps in members.items():
+            total = sum(1 / (1 + (1 - p) / p * math.exp(-found[g])) for p in ps)
+            assert total == pytest.approx(target, abs=1e-6)
+    full = shared_shift(df, ["g"], "p", F.lit(500.0)).collect()
+    assert all(r["shift"] is None and r["target"] == r["members"] for r in full)
 
 
 def test_rate_squads_plan(spark, players):
@@ -235,12 +256,12 @@ def test_rate_squads_plan(spark, players):
                             "status", "chance_of_playing_this_round")
     predictions = players.select("player_id", "predicted_points_1", "predicted_points_3")
     columns = list(COMPONENTS.values())
-    reference = spark.range(100).select(
-        *[(F.col("id") * 3.0).alias(c) for c in dict.fromkeys(columns)])
-    rated, rejected = rate_squads(squads(spark, squad(1), squad(2, captain=2)), static,
+    reference = spark.range(302).select(
+        *[F.col("id").cast("double").alias(c) for c in dict.fromkeys(columns)])
+    rated, rejected = rate_squads(squads(spark, squad(1), squad(2, captain=42)), static,
                                   predictions, RULES, 3, reference)
     row = rated.first()
-    assert row["squad_id"] == 1 and row["overall_points"] == 201
-    assert row["percentiles"]["overall"] == pytest.approx(67.5)  # 201 = 3 * 67, a midrank tie
-    assert row["reference_rows"] == 100 and "goalkeeper" in row["weaknesses"]
+    assert row["squad_id"] == 1 and row["overall_points"] == 151
+    assert row["percentiles"]["overall"] == pytest.approx(50.2)  # 151 below, one equal, of 302
+    assert row["reference_rows"] == 302 and "goalkeeper" in row["weaknesses"]
     assert [r["squad_id"] for r in rejected.collect()] == [2]

@@ -11,8 +11,9 @@ operators here cut the order axis into chunks first, run the window inside
    is cut again by the next order column.
 3. Chunk totals are combined map-side; a key has at most ``chunks`` of them.
 
-Where the tables read are together below ``spark.tidemark.chunkBytes`` the plain
-window is used: all the data is then smaller than one chunk would be.
+There is one path for all sizes. The rows to be ordered are materialised once and
+counted; a chunk holds about ``CHUNK_ROWS`` rows, and there are at least as many
+chunks as shuffle partitions, so that small inputs are cut like large ones.
 """
 
 from __future__ import annotations
@@ -25,28 +26,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 256 * 1024 * 1024
-CHUNK_SETTING = "spark.tidemark.chunkBytes"
-MAX_CHUNKS = 4096
+from tidemark.session import checkpointed
 
-
-def planned_bytes(df: DataFrame) -> int:
-    """Bytes of the tables a plan reads, without column pruning.
-
-    The optimizer's own estimate multiplies the sides of a join, which says
-    little about the rows of a lookup; the size of what is read does.
-    """
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+# Rows that one task orders at a time.
+CHUNK_ROWS = 1_000_000
 
 
 def chunk_count(df: DataFrame) -> int:
-    """1 for small inputs, else one chunk per ``chunkBytes`` of planned input."""
-    limit = int(df.sparkSession.conf.get(CHUNK_SETTING, str(CHUNK_BYTES)))
-    size = planned_bytes(df)
-    if size <= limit:
-        return 1
-    return int(min(MAX_CHUNKS, max(8, math.ceil(size / max(limit, 1)))))
+    """Chunks for a materialised frame: by its rows, without an upper bound."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(2, partitions, math.ceil(df.count() / CHUNK_ROWS))
 
 
 def clock_seconds(column: Column) -> Column:
@@ -139,29 +128,23 @@ def past_totals(
     ``sums`` maps an output name to the number to add up (NULL counts as 0; the
     first row of a key gets 0). ``last`` maps an output name to a column whose
     previous value is wanted. ``order`` must be unique within a key. The extra
-    column ``past_rows`` counts the earlier rows.
+    column ``past_rows`` counts the earlier rows. The input is materialised first:
+    bounds, windows and totals all read it.
     """
     last = dict(last or {})
+    columns = df.columns
+    df = checkpointed(df)
     chunks = chunk_count(df) if chunks is None else chunks
     numbers = {"past_rows": F.lit(1).cast("bigint"), **sums}
     source = df.withColumns({f"__in_{n}": F.coalesce(c, F.lit(0)) for n, c in numbers.items()})
-    if chunks > 1:
-        source = add_chunk(source, order, chunks)
-    else:
-        source = source.withColumn("__chunk", F.lit(0).cast("bigint"))
-    inner = [*keys, "__chunk"] if chunks > 1 else list(keys)
+    source = add_chunk(source, order, chunks)
+    inner = [*keys, "__chunk"]
     running = Window.partitionBy(*inner).orderBy(*order)
     before = running.rowsBetween(Window.unboundedPreceding, -1)
     out = source.withColumns(
         {f"__w_{n}": F.sum(f"__in_{n}").over(before) for n in numbers}
         | {f"__l_{n}": F.lag(c).over(running) for n, c in last.items()}
     )
-    if chunks == 1:
-        return out.select(
-            *df.columns,
-            *[F.coalesce(F.col(f"__w_{n}"), F.lit(0)).alias(n) for n in numbers],
-            *[F.col(f"__l_{n}").alias(n) for n in last],
-        )
     totals = source.groupBy(*inner).agg(
         *[F.sum(f"__in_{n}").alias(f"__t_{n}") for n in numbers],
         *([F.max(F.struct(*order, *[F.col(c).alias(f"__v_{n}") for n, c in last.items()]))
@@ -177,7 +160,7 @@ def past_totals(
     joined = join_null_safe(out, offsets, inner)
     first_in_chunk = F.coalesce(F.col("__w_past_rows"), F.lit(0)) == 0
     return joined.select(
-        *df.columns,
+        *columns,
         *[(F.coalesce(F.col(f"__w_{n}"), F.lit(0)) + F.coalesce(F.col(f"__o_{n}"), F.lit(0)))
           .alias(n) for n in numbers],
         *[F.when(first_in_chunk, F.col(f"__tail.__v_{n}")).otherwise(F.col(f"__l_{n}")).alias(n)

@@ -40,7 +40,11 @@ def percentile_scores(
     ).groupBy(*component, "__v").agg(F.sum("__r").alias("equal"))
     placed = past_totals(folded, component, ["__v"], {"less": F.col("equal")}, chunks=chunks)
     sizes = known.groupBy(*component).agg(F.count("*").alias("reference_rows"))
-    placed = placed.join(sizes, list(component)) if component else placed.join(F.broadcast(sizes))
+    placed = (placed.join(sizes, list(component), "left") if component
+              else placed.join(F.broadcast(sizes)))
+    missing = F.raise_error(F.lit("a component has no reference")).cast("bigint")
+    placed = placed.withColumn("reference_rows", F.when(
+        F.coalesce("reference_rows", F.lit(0)) == 0, missing).otherwise(F.col("reference_rows")))
     halves = F.col("less") + F.col("equal") / 2.0
     rated = placed.select(
         *component, "__v", "less", "equal", "reference_rows",

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clip
 from tidemark.operators.guards import require_no_rows
-from tidemark.operators.ordered import chunk_count, join_null_safe
+from tidemark.operators.ordered import join_null_safe
+from tidemark.session import checkpointed
 
 # Clipping of probabilities and the span of log-odds shifts.
 EPSILON = 1e-9
@@ -38,26 +39,21 @@ def _logit(p: Column) -> Column:
 
 def shared_shift(
     df: DataFrame, groups: Sequence[str], probability: str, target: Column,
-    gather: bool | None = None,
 ) -> DataFrame:
     """Log-odds shift per group: ``groups, members, target, before, shift``.
 
     ``target`` is an expression over the group columns; it is capped at the
-    group's size, where every member becomes 1 (``shift`` is NULL then). A table
-    planned to be smaller than one chunk (see :mod:`ordered`) is solved in one
-    aggregation that gathers its groups; ``gather`` overrides that choice.
+    group's size, where every member becomes 1 (``shift`` is NULL then). Equal
+    probabilities of a group are folded and materialised once; all passes read them.
     """
     folded = df.groupBy(*groups, F.col(probability).cast("double").alias("__p")).agg(
         F.count("*").alias("__c")
     ).withColumn("__l", _logit(F.col("__p")))
+    folded = checkpointed(folded)
     totals = folded.groupBy(*groups).agg(
         F.sum("__c").alias("members"), F.sum(F.col("__c") * F.col("__p")).alias("before")
     ).withColumn("target", F.least(target.cast("double"), F.col("members").cast("double")))
     facts = ["members", "before", "target"]
-    if gather is None:
-        gather = chunk_count(df) == 1
-    if gather:
-        return _gathered_shift(folded, groups, target)
     kept = [f"max({c}) AS {c}" for c in (*facts, "__lo", "__hi")]
     sums = ", ".join(
         f"sum(__c / (1 + exp(-(__l + __lo + (__hi - __lo) * {j / SECTIONS!r}D))))"
@@ -91,22 +87,6 @@ def shared_shift(
         *groups, *facts, F.when(F.col("target") < F.col("members"), F.col("__m")).alias("shift"))
 
 
-def _gathered_shift(folded: DataFrame, groups: Sequence[str], target: Column) -> DataFrame:
-    """Bisection inside one row per group, for tables checked to be small."""
-    packed = folded.groupBy(*groups).agg(
-        F.sum("__c").alias("members"), F.sum(F.col("__c") * F.col("__p")).alias("before"),
-        F.collect_list(F.struct("__l", "__c")).alias("__all"),
-    ).withColumn("target", F.least(target.cast("double"), F.col("members").cast("double")))
-    total = "aggregate(__all, 0D, (t, m) -> t + m.__c / (1 + exp(-(m.__l + (s.a + s.b) / 2))))"
-    halved = (
-        f"aggregate(sequence(1, 60), named_struct('a', -{SPAN}D, 'b', {SPAN}D), (s, i) -> "
-        f"if({total} < target, named_struct('a', (s.a + s.b) / 2, 'b', s.b), "
-        f"named_struct('a', s.a, 'b', (s.a + s.b) / 2)), s -> (s.a + s.b) / 2)")
-    return packed.select(
-        *groups, "members", "before", "target",
-        F.when(F.col("target") < F.col("members"), F.expr(halved)).alias("shift"))
-
-
 def reconcile(
     df: DataFrame, groups: Sequence[str], probability: str, target: Column, name: str,
 ) -> DataFrame:

@@ -74,7 +74,9 @@ def squad_report(
     ]
     if "active_chip" in squads.columns:
         structure.append(F.when(F.col("active_chip").isNotNull(), F.lit("chips are not supported")))
-    known = players.select(*PLAYER_COLUMNS).dropDuplicates(["player_id"])
+    # Of repeated ids the first in the order of all values counts.
+    facts = [c for c in PLAYER_COLUMNS if c != "player_id"]
+    known = players.groupBy("player_id").agg(F.min(F.struct(*facts)).alias("__f")).select("player_id", "__f.*")
     found = (
         member_rows(squads, squad_id)
         .join(known.withColumn("__known", F.lit(True)), "player_id", "left")
@@ -246,8 +248,8 @@ def best_lineup(
     rank limit is applied before the shuffle as well, so an oversized group
     sends a few rows per task. All formations are then compared inside one row.
     The captain and vice-captain are the two best starters. ``bench`` orders the
-    other members by position, points and id (or keepers first); it expects
-    squads within the rules' size and skips larger ones.
+    other members by position, points and id (or keepers first); a squad
+    above the rules' size fails the call.
     """
     rows = members.select(
         squad_id, F.col(player_id).alias("id"), F.col(position).alias("position"),
@@ -255,8 +257,8 @@ def best_lineup(
     )
     if bench:
         sizes = rows.groupBy(squad_id).agg(F.count("*").alias("__n"))
-        sound = sizes.filter(F.col("__n") <= rules.squad_size).select(squad_id)
-        rows = rows.join(sound, squad_id, "left_semi")
+        require_no_rows(sizes.filter(F.col("__n") > rules.squad_size),
+                        "squads above the rules' size")
     order = Window.partitionBy(squad_id, "position").orderBy(F.desc("points"), F.asc("id"))
     most = max(p.maximum_starters for p in rules.positions)
     top = rows.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= most)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import ticks
 from tidemark.operators.guards import ContractError, require_no_rows
 from tidemark.operators.rules import SquadRules
-from tidemark.operators.squads import _best_formation, _ranked
+from tidemark.operators.squads import _ranked
 
 PRICE_SCALE = 10
 
@@ -114,8 +114,8 @@ def _blocks_upto(limit: Column, levels: int) -> Column:
 
 
 def best_replacements(
-    members: DataFrame, pool: DataFrame, max_price: int, squad_size: int,
-    max_per_club: int, squad_id: str = "squad_id",
+    members: DataFrame, pool: DataFrame, max_price: int, max_per_club: int,
+    squad_id: str = "squad_id",
 ) -> DataFrame:
     """For each member, the best affordable same-position player to swap in.
 
@@ -127,12 +127,14 @@ def best_replacements(
     Members are not paired with all players of their position. Prices are whole
     ticks; each player enters the power-of-two price blocks that contain its
     price, and a block keeps only its best players. The few blocks that make up
-    ``0..limit`` give the short list of a limit. A squad rules out at most ``squad_size``
-    players by holding them and ``squad_size // max_per_club`` clubs by the cap,
-    so the best ``max_per_club + 1`` players of the best
-    ``squad_size // max_per_club + squad_size + 1`` clubs of a block always
-    contain the answer: short lists lose nothing.
+    ``0..limit`` give the short list of a limit. A squad of n players rules out at most
+    n players by holding them and ``n // max_per_club`` clubs by the cap, so the best
+    ``max_per_club + 1`` players of the best ``n // max_per_club + n + 1`` clubs of a
+    block always contain the answer. n is the largest squad's size, counted first:
+    short lists lose nothing and no squad is left out.
     """
+    sizes = members.groupBy(squad_id).agg(F.count("*").alias("n"))
+    squad_size = sizes.agg(F.max("n")).first()[0] or 0
     levels = max(1, int(max_price).bit_length())
     per_club = squad_size + 1 if max_per_club >= squad_size else max_per_club + 1
     clubs = squad_size // max_per_club + squad_size + 1
@@ -157,17 +159,11 @@ def best_replacements(
         return ranked.filter(F.col("__c") <= clubs).drop("__r", "__lead", "__c")
 
     blocks = shortlist(entries, ["position_id", "level", "block"])
-    # The lists are long enough for squads of the stated size; larger ones are no
-    # squads. The rank limit also applies before the shuffle, so at most one row
-    # too many per squad is ever gathered, and that one tells it is too large.
-    in_squad = Window.partitionBy(squad_id).orderBy("player_id")
-    few = members.select(
+    packed = members.select(
         squad_id, "player_id", "position_id", "club_id",
         F.least(F.col("limit_ticks").cast("bigint"), F.lit(max_price)).alias("__limit"),
-    ).withColumn("__r", F.row_number().over(in_squad)).filter(F.col("__r") <= squad_size + 1)
-    packed = few.groupBy(squad_id).agg(F.collect_list(F.struct(
-        "player_id", "position_id", "club_id", "__limit")).alias("__m")).filter(
-        F.size("__m") <= squad_size)
+    ).groupBy(squad_id).agg(F.collect_list(F.struct(
+        "player_id", "position_id", "club_id", "__limit")).alias("__m"))
     # Clubs at the cap are closed, unless the leaving member opens a place.
     clubs_of = "array_distinct(__m.club_id)"
     taken = "size(filter(__m, m -> m.club_id = c))"
@@ -239,8 +235,7 @@ def best_single_swap(
     spendable = members.join(money, squad_id).withColumn(
         "limit_ticks", F.col("__budget") - F.col("__held_ticks") + F.col("sell_ticks"))
     offers = best_replacements(
-        spendable.filter("limit_ticks >= 0"), pool, max_price, rules.squad_size,
-        rules.max_per_club, squad_id)
+        spendable.filter("limit_ticks >= 0"), pool, max_price, rules.max_per_club, squad_id)
     packed = members.groupBy(squad_id).agg(F.collect_list(F.struct(
         F.col("player_id").alias("id"), F.col("position_id").alias("position"),
         F.col("points").cast("double").alias("points"))).alias("__m"))

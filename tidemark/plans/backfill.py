@@ -33,7 +33,7 @@ SUM_STATS = (
     "goals_conceded", "own_goals", "penalties_saved", "penalties_missed", "yellow_cards",
     "red_cards", "saves", "bonus", "bps", "influence", "creativity", "threat", "ict_index",
     "expected_goals", "expected_assists", "expected_goal_involvements",
-    "expected_goals_conceded", "transfers_in", "transfers_out",
+    "expected_goals_conceded",
 )
 KEY = ["season", "snapshot_gameweek", "player_id"]
 
@@ -142,7 +142,3 @@ def gameweek_facts(training: DataFrame) -> DataFrame:
                 "position_short_name", "club_name"]
     facts = [c for c in training.columns if c.startswith("gameweek_")]
     return training.select(*identity, *facts).withColumnRenamed("snapshot_gameweek", "gameweek")
-
-
-
-

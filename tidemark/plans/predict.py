@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clip
-from tidemark.ml.features import FeatureSchema, prepare
+from tidemark.ml.features import ModelInputs, prepare
 from tidemark.operators.guards import ContractError
 from tidemark.operators.joins import newest_identity, rows_of
 from tidemark.operators.reconcile import reconcile_lineups
@@ -24,7 +24,7 @@ MINUTES_PER_PERIOD = 90.0
 
 
 def score(
-    rows: DataFrame, models: Mapping[tuple[str, int], tuple[PipelineModel, FeatureSchema]],
+    rows: DataFrame, models: Mapping[tuple[str, int], tuple[PipelineModel, ModelInputs]],
     keep: tuple[str, ...] = ("club_id", "position_short_name"),
 ) -> DataFrame:
     """Add a column per (target kind, horizon), bounded to what is possible.

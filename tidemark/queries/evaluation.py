@@ -197,9 +197,10 @@ SELECT 'event_type', round(avg(CASE WHEN event_type IS NOT NULL THEN 1 ELSE 0 EN
 def q_season_audit(spark, folder):
     events = table(spark, folder, "events").select(
         "event_type", "user_id", F.floor(seconds("ts") / 600).alias("slot"))
-    types = events.select("event_type").distinct()
-    # The schedule is every slot in which anything happened, for every type.
-    planned = events.select("slot").distinct().join(F.broadcast(types))
+    # The schedule of a type is every slot of its span in which anything happened.
+    spans = events.groupBy("event_type").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
+    planned = spans.select("event_type", F.explode(F.sequence("a", "b")).alias("slot")).join(
+        events.select("slot").distinct(), "slot").select("slot", "event_type")
     out = season_audit(events, ["event_type"], "slot", "user_id", ["user_id", "slot"], planned)
     return out.select(
         "event_type", "rows", "entities", "periods", "first_period", "last_period",

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.ml.features import FeatureSchema
+from tidemark.ml.features import ModelInputs
 from tidemark.ml.training import calibrate, compare
 from tidemark.operators.evaluation import brier_scores
 from tidemark.operators.rules import PositionRule, SquadRules
 from tidemark.operators.temporal import latest_wins, past_cumulative
 from tidemark.plans.reference import reference_population
 from tidemark.queries.common import month_index, rounded, table
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, shared_folder
 from tidemark.sources.archive import file_inventory, relative_to, verify_inventory
 from tidemark.sources.runs import nested_to_json, read_versions, write_run
 
@@ -32,8 +31,7 @@ def q_run_store_latest(spark, folder):
 
     The first run has every order; the second rewrites the finished ones.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.gettempdir()
-    root = f"{shared.rstrip('/')}/runs-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
+    root = f"{shared_folder(spark)}/runs-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     first = orders.withColumn("ingested_at", F.lit("2024-01-01"))
     second = orders.filter("o_orderstatus = 'F'").select(
@@ -64,15 +62,16 @@ NESTED_TO_JSON = """
 SELECT o_orderkey, '{"customer":' || o_custkey || ',"status":"' || o_orderstatus || '"}' AS facts
 FROM orders"""
 
-TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO")
+# All part types take part: one keeper's place, the other types share three roles.
 DRAFT = SquadRules(
-    squad_size=10, starting_size=7, budget=80.0, max_per_club=3, positions=(
-        PositionRule("ECONOMY", "GKP", 2, 1, 1), PositionRule("LARGE", "DEF", 3, 1, 3),
-        PositionRule("MEDIUM", "MID", 3, 1, 3), PositionRule("PROMO", "FWD", 2, 1, 2)))
+    squad_size=12, starting_size=8, budget=96.0, max_per_club=3, positions=(
+        PositionRule("ECONOMY", "GKP", 2, 1, 1), PositionRule("LARGE", "DEF", 2, 1, 2),
+        PositionRule("SMALL", "DEF", 2, 1, 2), PositionRule("MEDIUM", "MID", 2, 1, 2),
+        PositionRule("STANDARD", "MID", 2, 1, 2), PositionRule("PROMO", "FWD", 2, 1, 2)))
 
 
 def _population(spark, folder, strategy):
-    parts = table(spark, folder, "part").filter(F.col("p_type").isin(*TYPES))
+    parts = table(spark, folder, "part")
     players = parts.select(
         F.col("p_partkey").alias("player_id"), F.col("p_type").alias("position_id"),
         F.col("p_brand").alias("club_id"), (F.col("p_size") / 10.0 + 4.0).alias("price"),
@@ -80,7 +79,7 @@ def _population(spark, folder, strategy):
     sold = table(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("player_id")).agg(
         F.avg("l_quantity").alias("predicted_points_1"))
     out = reference_population(players, sold, DRAFT, 1, size=200, strategy=strategy, seed=2026,
-                               target_cost=70.0, budget_band=10.0)
+                               target_cost=84.0, budget_band=12.0)
     points = [c for c in out.columns if c.endswith("_points")]
     return rounded(out.select("squad_id", "strategy", "total_cost", *points), 4, "total_cost",
                    *points)
@@ -114,14 +113,13 @@ def customer_months(spark, folder):
         F.try_divide("spent", "bought").alias("recent_points_mean_3"))
 
 
-MODEL_SCHEMA = FeatureSchema(("recent_points_mean_3", "balance", "bought"), ("segment",))
+MODEL_SCHEMA = ModelInputs.of(["recent_points_mean_3", "balance", "bought"], ["segment"])
 
 
 def q_train_select(spark, folder):
     """Candidates compared on purged rolling origins; their leaderboard."""
     result = compare(
-        customer_months(spark, folder), 1, "points", label="label", schema=MODEL_SCHEMA,
-        max_folds=3, trees=10, depth=4)
+        customer_months(spark, folder), 1, "points", label="label", schema=MODEL_SCHEMA)
     return rounded(result.leaderboard.select("model", "rows", "mae", "rmse"), 4, "mae", "rmse")
 
 

@@ -85,7 +85,6 @@ SELECT l_orderkey, round(p, 2) AS starting_xi_points,
 
 
 SWAP_CAP = 2
-SWAP_SIZE = 16
 MAX_TICKS = 2**15
 
 
@@ -101,7 +100,7 @@ def q_single_swap(spark, folder):
     held = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("squad_id"), F.col("l_partkey").alias("player_id")).distinct()
     members = held.join(parts, "player_id").withColumn("limit_ticks", F.col("price_ticks"))
-    out = best_replacements(members, parts, MAX_TICKS, SWAP_SIZE, SWAP_CAP)
+    out = best_replacements(members, parts, MAX_TICKS, SWAP_CAP)
     gains = out.join(
         parts.select(F.col("player_id").alias("out_id"), F.col("points").alias("out_points")),
         "out_id")
@@ -113,9 +112,7 @@ def q_single_swap(spark, folder):
 
 
 SINGLE_SWAP = f"""
-WITH z AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) <= {SWAP_SIZE}),
-h AS (SELECT DISTINCT l_orderkey AS squad_id, l_partkey AS out_id FROM lineitem
-  JOIN z USING (l_orderkey)),
+WITH h AS (SELECT DISTINCT l_orderkey AS squad_id, l_partkey AS out_id FROM lineitem),
 m AS (SELECT h.*, p_brand, p_type, p_retailprice, p_size FROM h JOIN part ON p_partkey = out_id),
 k AS (SELECT squad_id, p_type, count(*) AS n FROM m GROUP BY 1, 2),
 c AS (SELECT m.squad_id, m.out_id, p.p_partkey AS in_id,
@@ -136,15 +133,10 @@ LEGAL = SquadRules(
 
 
 def q_group_legality(spark, folder):
-    """Orders of up to 15 lines as squads; larger ones are illegal by their count.
-
-    The size check comes first, so no order of any length is gathered.
-    """
+    """Every order as a squad, judged whatever its length."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    sizes = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    small = lines.join(sizes.filter("n <= 15").select("l_orderkey"), "l_orderkey", "left_semi")
     starts = F.col("l_linenumber") <= 4
-    squads = small.groupBy(F.col("l_orderkey").alias("squad_id")).agg(
+    squads = lines.groupBy(F.col("l_orderkey").alias("squad_id")).agg(
         F.sort_array(F.collect_list("l_partkey")).alias("player_ids"),
         F.sort_array(F.collect_list(F.when(starts, F.col("l_partkey")))).alias("starting_xi"),
         F.sort_array(F.collect_list(F.when(~starts, F.col("l_partkey")))).alias("bench"),
@@ -153,12 +145,8 @@ def q_group_legality(spark, folder):
         F.col("p_partkey").alias("player_id"), F.col("p_brand").alias("club_id"),
         F.col("p_type").alias("position_id"), F.col("p_retailprice").alias("price"))
     report = squad_report(squads, parts, LEGAL)
-    judged = report.select("squad_id", F.size("errors").cast("bigint").alias("errors"),
-                           F.round("total_cost", 2).alias("total_cost"))
-    oversize = sizes.filter("n > 15").select(
-        F.col("l_orderkey").alias("squad_id"), F.lit(1).cast("bigint").alias("errors"),
-        F.lit(None).cast("double").alias("total_cost"))
-    return judged.unionByName(oversize)
+    return report.select("squad_id", F.size("errors").cast("bigint").alias("errors"),
+                         F.round("total_cost", 2).alias("total_cost"))
 
 
 GROUP_LEGALITY = f"""
@@ -169,7 +157,7 @@ WITH s AS (SELECT l_orderkey AS squad_id, count(*) AS n, count(DISTINCT l_partke
       FILTER (WHERE l_linenumber > 4) AS bd,
     coalesce(list(l_partkey) FILTER (WHERE l_linenumber <= 4), []) AS xi,
     coalesce(list(l_partkey) FILTER (WHERE l_linenumber > 4), []) AS bench,
-    min(l_partkey) AS captain, max(l_partkey) AS vice FROM lineitem GROUP BY 1 HAVING count(*) <= 15),
+    min(l_partkey) AS captain, max(l_partkey) AS vice FROM lineitem GROUP BY 1),
 e AS (SELECT squad_id, CAST(n <> 6 AS INT) + CAST(d <> n AS INT) + CAST(x <> 4 AS INT)
     + CAST(xd <> x AS INT) + CAST(b <> 2 AS INT) + CAST(bd <> b AS INT)
     + CAST(list_has_any(xi, bench) AS INT) + CAST(captain = vice AS INT)
@@ -189,8 +177,7 @@ c AS (SELECT squad_id, CAST(max(n) > 2 AS INT) AS crowd FROM (SELECT squad_id, p
   FROM p GROUP BY 1, 2) GROUP BY 1)
 SELECT squad_id, CAST(CASE WHEN structure > 0 THEN structure ELSE quota + crowd END AS BIGINT)
   AS errors, round(total_cost, 2) AS total_cost
-FROM e JOIN q USING (squad_id) JOIN c USING (squad_id)
-UNION ALL SELECT l_orderkey, 1, NULL FROM lineitem GROUP BY 1 HAVING count(*) > 15"""
+FROM e JOIN q USING (squad_id) JOIN c USING (squad_id)"""
 
 
 def q_legal_draws(spark, folder):
@@ -516,10 +503,8 @@ WITH {SELL_SQL} SELECT squad_id, round(CASE WHEN tax > 0.06 THEN 5000 ELSE sell_
 def q_transfer_summary(spark, folder):
     """What changes from an order's lines 1-4 to its lines 3-7."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    sizes = lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).filter("n <= 15")
-    small = lines.join(sizes.select("l_orderkey"), "l_orderkey", "left_semi")
     number = F.col("l_linenumber")
-    changes = small.groupBy(F.col("l_orderkey").alias("squad_id")).agg(
+    changes = lines.groupBy(F.col("l_orderkey").alias("squad_id")).agg(
         F.collect_set(F.when(number <= 4, F.col("l_partkey"))).alias("before_ids"),
         F.collect_set(F.when(number >= 3, F.col("l_partkey"))).alias("after_ids"))
     parts = table(spark, folder, "part").select(
@@ -533,9 +518,8 @@ def q_transfer_summary(spark, folder):
 
 
 TRANSFER_SUMMARY = """
-WITH k AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 15),
-m AS (SELECT l_orderkey AS squad_id, l_partkey, bool_or(l_linenumber <= 4) AS b,
-  bool_or(l_linenumber >= 3) AS a FROM lineitem JOIN k USING (l_orderkey) GROUP BY 1, 2),
+WITH m AS (SELECT l_orderkey AS squad_id, l_partkey, bool_or(l_linenumber <= 4) AS b,
+  bool_or(l_linenumber >= 3) AS a FROM lineitem GROUP BY 1, 2),
 s AS (SELECT squad_id, CAST(count(*) FILTER (WHERE a AND NOT b) AS INT) AS moves_in,
   CAST(count(*) FILTER (WHERE b AND NOT a) AS INT) AS moves_out,
   coalesce(sum(p_retailprice) FILTER (WHERE a AND NOT b), 0) AS ip,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -36,20 +37,24 @@ def build_session(app: str = "tidemark", master: str | None = None,
     return builder.getOrCreate()
 
 
-def checkpointed(df):
-    """Cut the lineage of a frame that later jobs build on.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Uses the checkpoint folder the cluster names. Only where none is set, as in
-    tests, is a temporary one made; on a cluster that folder must be shared.
+    Only where it is unset and the master is local, as in tests, is a temporary
+    one made; elsewhere the setting is required.
     """
-    import tempfile
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
 
+def checkpointed(df):
+    """Cut the lineage of a frame that later jobs build on, in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -34,12 +34,6 @@ def validate_season(season: str) -> str:
     return season
 
 
-def validate_revision(revision: str) -> str:
-    if not re.match(REVISION_PATTERN, revision):
-        raise ContractError("a revision is a full 40-digit hexadecimal id")
-    return revision
-
-
 def read_csv(spark: SparkSession, path: str, text: Sequence[str] = TEXT_COLUMNS) -> DataFrame:
     """CSV with a header; types are set by name, not inferred from the data.
 
@@ -112,10 +106,3 @@ def verify_inventory(
 def relative_to(inventory: DataFrame, root: str, name: str = "relative_path") -> DataFrame:
     cut = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
     return inventory.withColumn(name, cut)
-
-
-def column_audit(columns: Mapping[str, Sequence[str]],
-                 required: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
-    """Required columns each table lacks."""
-    return {t: sorted(set(need) - set(columns.get(t, ()))) for t, need in required.items()
-            if set(need) - set(columns.get(t, ()))}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import texts, written
 
 # Code points of a leaf of the tree; longer texts are cut.
-LEAF = 16_384
+LEAF = 32_768
 # Code points on either side of a join that are encoded again at first.
 MARGIN = 32
 # Chunks without white space up to this length are remembered by a worker, this many at most.
@@ -200,10 +200,10 @@ def _encode_leaves(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
     for batch in batches:
         nodes = [encoder.units(p, at) for at, p in zip(batch.column("at").to_pylist(),
                                                        batch.column("piece").to_pylist())]
-        sizes = [np.array([len(i) for i in n.ids], dtype="<i4").tobytes() for n in nodes]
+        sizes = [np.array([len(i) // 4 for i in n.ids], dtype="<u2").tobytes() for n in nodes]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array([n.starts.astype("<i8").tobytes() for n in nodes], pa.binary()),
-             pa.array([n.ends.astype("<i8").tobytes() for n in nodes], pa.binary()),
+            [*batch.columns, pa.array([n.starts.astype("<i4").tobytes() for n in nodes], pa.binary()),
+             pa.array([n.ends.astype("<i4").tobytes() for n in nodes], pa.binary()),
              pa.array(sizes, pa.binary()), pa.array([b"".join(n.ids) for n in nodes], pa.binary())],
             ["row_id", "doc_id", "at", "piece", "starts", "ends", "sizes", "ids"])
 
@@ -222,10 +222,10 @@ def _join_leaves(batches: Iterator[pa.RecordBatch], path: str, finish) -> Iterat
                 if nodes:
                     yield done()
                 row_id, doc_id, nodes, pieces = row["row_id"], row["doc_id"], [], []
-            ends = np.cumsum(np.frombuffer(row["sizes"], dtype="<i4"), dtype=np.int64).tolist()
+            ends = (4 * np.cumsum(np.frombuffer(row["sizes"], dtype="<u2"), dtype=np.int64)).tolist()
             ids = [row["ids"][s:e] for s, e in zip([0, *ends[:-1]], ends)]
-            nodes.append(Node(row["at"], row["at"] + len(row["piece"]), np.frombuffer(row["starts"], dtype="<i8"),
-                              np.frombuffer(row["ends"], dtype="<i8"), ids))
+            nodes.append(Node(row["at"], row["at"] + len(row["piece"]), np.frombuffer(row["starts"], dtype="<i4"),
+                              np.frombuffer(row["ends"], dtype="<i4"), ids))
             pieces.append(row["piece"])
     if nodes:
         yield done()

@@ -62,12 +62,12 @@ NESTED_TO_JSON = """
 SELECT o_orderkey, '{"customer":' || o_custkey || ',"status":"' || o_orderstatus || '"}' AS facts
 FROM orders"""
 
-# All part types take part: one keeper's place, the other types share three roles.
+# All part types take part.
 DRAFT = SquadRules(
     squad_size=12, starting_size=8, budget=96.0, max_per_club=3, positions=(
         PositionRule("ECONOMY", "GKP", 2, 1, 1), PositionRule("LARGE", "DEF", 2, 1, 2),
-        PositionRule("SMALL", "DEF", 2, 1, 2), PositionRule("MEDIUM", "MID", 2, 1, 2),
-        PositionRule("STANDARD", "MID", 2, 1, 2), PositionRule("PROMO", "FWD", 2, 1, 2)))
+        PositionRule("SMALL", "WBK", 2, 1, 2), PositionRule("MEDIUM", "MID", 2, 1, 2),
+        PositionRule("STANDARD", "WNG", 2, 1, 2), PositionRule("PROMO", "FWD", 2, 1, 2)))
 
 
 def _population(spark, folder, strategy):

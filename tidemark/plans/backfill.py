@@ -26,6 +26,7 @@ from tidemark.operators.temporal import (
     past_cumulative,
     period_rollup,
 )
+from tidemark.session import checkpointed
 
 # Match statistics that are summed per gameweek.
 SUM_STATS = (
@@ -50,9 +51,10 @@ def player_gameweeks(matches: DataFrame, fixtures: DataFrame, teams: DataFrame)
         "was_home": strict_boolean("was_home"),
         **{c: lenient_double(c) for c in stats},
     })
+    # The archive is read once: guards and the roll-up start from what is written here.
+    raw = checkpointed(fill_period_start(raw, ["season"], "round", "kickoff_time"))
     require_no_rows(raw.filter("element IS NULL OR round IS NULL").select("season", "name"),
                     "match rows without a player or gameweek")
-    raw = fill_period_start(raw, ["season"], "round", "kickoff_time")
     require_no_rows(
         inconsistent_identity(raw, ["season", "element", "round"], ["name", "position", "team"]),
         "identity differs within a player gameweek")
@@ -67,7 +69,7 @@ def player_gameweeks(matches: DataFrame, fixtures: DataFrame, teams: DataFrame)
     )
     clubs = teams.select(
         "season", F.col("name").alias("club_name"), F.col("id").cast("bigint").alias("club_id"))
-    named = lookup(rolled, clubs, ["season", "club_name"])
+    named = lookup(checkpointed(rolled), clubs, ["season", "club_name"])
     return named.withColumnsRenamed({"element": "player_id", "round": "snapshot_gameweek"}).withColumn(
         "away_fixture_count", F.col("fixture_count") - F.col("home_fixture_count"))
 
@@ -133,7 +135,7 @@ def historical_training(
     opposition = opponent_means(
         ahead, ratings, ["season"], period, "__at", "home_club_id", "away_club_id", horizons)
     rows = attach_strength(rows, ratings, opposition, ["season"], period, "club_id", horizons)
-    return require_unique(rows.drop("__appeared", "__started"), KEY, "training rows")
+    return require_unique(checkpointed(rows.drop("__appeared", "__started")), KEY, "training rows")
 
 
 def gameweek_facts(training: DataFrame) -> DataFrame:

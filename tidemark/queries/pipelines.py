@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -15,17 +16,138 @@ from tidemark.operators.temporal import latest_wins, past_cumulative
 from tidemark.plans.reference import reference_population
 from tidemark.queries.common import month_index, rounded, table
 from tidemark.session import checkpointed, shared_folder
-from tidemark.sources.archive import file_inventory, relative_to, verify_inventory
-from tidemark.sources.runs import nested_to_json, read_versions, write_run
+from tidemark.sources.archive import file_inventory, read_seasons, relative_to, verify_inventory
+from tidemark.sources.runs import nested_to_json, read_versions, register_views, registry, run_id, write_run
 
 
 def q_inventory_check(spark, folder):
-    """Every table file against a manifest of sizes and checksums."""
+    """Every table file against a manifest with tampered, absent and added entries."""
     files = relative_to(file_inventory(spark, folder, "*.parquet"), folder)
-    manifest = files.select("relative_path", "bytes", "sha256")
+    name = F.col("relative_path")
+    manifest = files.filter(name != "region.parquet").select(
+        F.when(name == "nation.parquet", "ghost.parquet").otherwise(name).alias("relative_path"),
+        F.when(name == "part.parquet", F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"),
+        F.when(name == "orders.parquet", F.reverse("sha256")).otherwise(F.upper("sha256")).alias("sha256"))
     return verify_inventory(files, manifest)
 
 
+INVENTORY_CHECK = """
+SELECT name || '.parquet' AS relative_path, CASE name WHEN 'region' THEN 'unexpected'
+  WHEN 'nation' THEN 'unexpected' WHEN 'part' THEN 'size differs' WHEN 'orders' THEN 'checksum differs'
+  ELSE 'ok' END AS status
+FROM (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
+  'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name)
+UNION ALL SELECT 'ghost.parquet', 'missing'"""
+
+
+def _new_root(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _order_runs(spark, folder, root):
+    """Two finished runs whose types drift, and one without a manifest.
+
+    The second run rewrites the finished orders, with a priority as BIGINT beside
+    INT and a note that the first run lacks.
+    """
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    day = [datetime(2024, 1, d, tzinfo=timezone.utc) for d in (1, 2, 3)]
+    first = orders.withColumns({"ingested_at": F.lit("2024-01-01"), "priority": F.lit(1)})
+    finished = orders.filter("o_orderstatus = 'F'")
+    second = finished.withColumns({
+        "o_totalprice": F.col("o_totalprice") + 1, "ingested_at": F.lit("2024-01-02"),
+        "priority": F.lit(2).cast("bigint"), "note": F.lit("again")})
+    for moment, rows, week in ((day[0], first, 1), (day[1], second, 2)):
+        write_run(spark, f"{root}/facts", {"orders": rows}, moment, {"season": "s", "snapshot_gameweek": week})
+    finished.withColumn("ingested_at", F.lit("2024-01-03")).write.parquet(f"{root}/facts/{run_id(day[2])}/orders")
+
+
+def q_run_store_views(spark, folder):
+    """The store's newest-wins view over drifted runs; an unfinished run is not seen."""
+    root = _new_root(spark, "store")
+    _order_runs(spark, folder, root)
+    view = f"orders_{uuid.uuid4().hex}"
+    key, newest = ["o_orderkey"], ["ingested_at", "filename"]
+    register_views(spark, root, {}, {view: ("facts", "orders", T.StructType([]), key, newest)})
+    out = spark.table(view).select("o_orderkey", "o_totalprice", F.col("priority").cast("bigint").alias("priority"), "note")
+    return rounded(out, 2, "o_totalprice")
+
+
+RUN_STORE_VIEWS = """
+SELECT o_orderkey, round(o_totalprice + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, 2)
+  AS o_totalprice, CAST(CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS BIGINT) AS priority,
+  CASE WHEN o_orderstatus = 'F' THEN 'again' END AS note FROM orders"""
+
+
+def q_run_registry(spark, folder):
+    """Rows and value of each finished run beside what its manifest says."""
+    root = _new_root(spark, "registry")
+    _order_runs(spark, folder, root)
+    versions = read_versions(spark, f"{root}/facts", "orders", T.StructType([]))
+    run = F.regexp_extract("filename", "/facts/([^/]+)/orders/", 1)
+    sums = versions.groupBy(run.alias("snapshot_id")).agg(
+        F.count("*").alias("rows"), F.sum("o_totalprice").alias("total"))
+    known = registry(spark, f"{root}/facts").select("snapshot_id", "season", "snapshot_gameweek", "created_at_utc")
+    return rounded(known.join(sums, "snapshot_id", "left").select(
+        "season", "snapshot_gameweek", F.substring("created_at_utc", 1, 10).alias("day"), "rows", "total"), 1, "total")
+
+
+RUN_REGISTRY = """
+SELECT 's' AS season, CAST(1 AS BIGINT) AS snapshot_gameweek, '2024-01-01' AS day, count(*) AS rows,
+  round(sum(o_totalprice), 1) AS total FROM orders
+UNION ALL SELECT 's', 2, '2024-01-02', count(*), round(sum(o_totalprice + 1), 1) FROM orders
+WHERE o_orderstatus = 'F'"""
+
+
+def q_csv_archive(spark, folder):
+    """Order lines written as season archives in CSV and read back with typed columns.
+
+    A value that is no number, a leaking column and files in season folders are
+    part of it; the result sums each season's matches, fixtures and teams.
+    """
+    root = _new_root(spark, "archive")
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("round"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("kickoff_time"))
+    lines = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "year", F.col("l_returnflag").alias("name"), F.col("l_returnflag").alias("position"),
+        F.col("l_linestatus").alias("team"), F.col("l_tax").alias("xP"), F.col("l_partkey").alias("element"),
+        F.col("l_orderkey").alias("fixture"), "round", "kickoff_time", F.col("l_quantity").alias("minutes"),
+        F.col("l_extendedprice").alias("total_points"),
+        F.when(F.col("l_discount") == 0, F.lit("n/a")).otherwise(F.col("l_discount").cast("string")).alias("value"),
+        (F.col("l_linenumber") == 1).alias("was_home"))
+    games = orders.select("year", F.col("o_orderkey").alias("id"), F.col("round").alias("event"),
+                          F.col("o_custkey").alias("team_h"), F.col("o_custkey").alias("team_a"), "kickoff_time")
+    teams = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_name").alias("short_name"))
+    years = [r["year"] for r in orders.select("year").distinct().orderBy("year").collect()]
+    seasons = [f"{y}-{(y + 1) % 100:02d}" for y in years]
+    for year, season in zip(years, seasons):
+        for rows, path in ((lines.filter(F.col("year") == year).drop("year"), "gws/merged_gw.csv"),
+                           (games.filter(F.col("year") == year).drop("year"), "fixtures.csv"), (teams, "teams.csv")):
+            rows.write.option("header", "true").csv(f"{root}/{season}/{path}")
+    tables = read_seasons(spark, root, seasons)
+    matches = tables["matches"].groupBy("season").agg(
+        F.count("*").alias("rows"), F.sum("total_points").alias("points"), F.count("value").alias("valued"),
+        F.sum(F.when(F.lower("was_home") == "true", F.col("minutes"))).alias("home_minutes"))
+    fixtures = tables["fixtures"].groupBy("season").agg(F.count("*").alias("fixtures"), F.sum("event").alias("events"))
+    clubs = tables["teams"].groupBy("season").agg(F.count("*").alias("clubs"))
+    out = matches.join(fixtures, "season").join(clubs, "season").withColumn(
+        "leaks", F.lit("xP" in tables["matches"].columns))
+    return rounded(out, 1, "points", "home_minutes", "events")
+
+
+CSV_ARCHIVE = """
+WITH o AS (SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders),
+g AS (SELECT y, count(*) AS rows, round(sum(l_extendedprice), 1) AS points,
+    count(*) FILTER (WHERE l_discount <> 0) AS valued,
+    round(sum(l_quantity) FILTER (WHERE l_linenumber = 1), 1)::DOUBLE AS home_minutes
+  FROM lineitem JOIN o ON l_orderkey = o_orderkey GROUP BY 1),
+f AS (SELECT y, count(*) AS fixtures, sum(m)::DOUBLE AS events FROM o GROUP BY 1)
+SELECT y || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS season, rows, points, valued, home_minutes,
+  fixtures, events, (SELECT count(*) FROM supplier) AS clubs, false AS leaks FROM g JOIN f USING (y)"""
+
+
 def q_run_store_latest(spark, folder):
     """Orders written as two runs, read back with the newest version winning.
 
@@ -140,7 +262,10 @@ def q_calibrated_probability(spark, folder):
 
 
 QUERIES = {
-    "inventory_check": (q_inventory_check, None),
+    "inventory_check": (q_inventory_check, INVENTORY_CHECK),
+    "run_store_views": (q_run_store_views, RUN_STORE_VIEWS),
+    "run_registry": (q_run_registry, RUN_REGISTRY),
+    "csv_archive": (q_csv_archive, CSV_ARCHIVE),
     "run_store_latest": (q_run_store_latest, RUN_STORE_LATEST),
     "nested_to_json": (q_nested_to_json, NESTED_TO_JSON),
     "reference_human_like": (q_reference_human, None),

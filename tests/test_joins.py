@@ -32,6 +32,8 @@ def test_suffix_and_completion(spark):
     left = spark.createDataFrame([(1, 2.0), (3, 1.0)], "k int, v double")
     right = spark.createDataFrame([(1, 5.0, 6.0)], "k int, v double, w double")
     assert inner_with_suffix(left, right, ["k"], "_r").columns == ["k", "v", "v_r", "w"]
+    with pytest.raises(ContractError):
+        inner_with_suffix(left, right.union(right), ["k"], "_r")
     assert complete_with(left, right, ["k"]).columns == ["k", "v", "w"]
     with pytest.raises(ContractError):
         complete_with(left, right, ["k"], ["w"])

@@ -136,6 +136,8 @@ def test_manager_picks(payload, spark):
     assert pick_violations(rows, ["manager_id"], known).count() == 0
     bad = rows.withColumn("is_captain", F.lit(True)).filter("player_id < 15")
     assert len(pick_violations(bad, ["manager_id"], known).first()["reasons"]) == 3
+    with pytest.raises(ContractError):
+        payloads.manager_picks(data, F.lit(9), "s", 1, "now", known.limit(3))
 
 
 def test_inventory_detects_tampering(spark, tmp_path):

@@ -37,7 +37,12 @@ def lookup(
 def inner_with_suffix(
     left: DataFrame, right: DataFrame, keys: Sequence[str], suffix: str
 ) -> DataFrame:
-    """One-to-one inner join; columns both sides have get a suffix on the right."""
+    """One-to-one inner join; columns both sides have get a suffix on the right.
+
+    A key that repeats on either side fails.
+    """
+    require_unique(left, keys, "left side")
+    require_unique(right, keys, "right side")
     clash = [c for c in right.columns if c in left.columns and c not in keys]
     return left.join(
         right.withColumnsRenamed({c: c + suffix for c in clash}), list(keys), "inner"

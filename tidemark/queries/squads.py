@@ -364,19 +364,26 @@ FROM z_s JOIN c_s USING (squad_id)"""
 
 
 def q_probability_reconcile(spark, folder):
-    """Customers of a nation rescaled to ten expected ones; sums per nation."""
+    """Customers of a nation rescaled to ten expected ones, each customer's value."""
     customers = table(spark, folder, "customer").select(
-        "c_nationkey", clip((F.col("c_acctbal") + 1000.0) / 11000.0, 0.0, 1.0).alias("p"))
+        "c_custkey", "c_nationkey", clip((F.col("c_acctbal") + 1000.0) / 11000.0, 0.0, 1.0).alias("p"))
     fitted = reconcile(customers, ["c_nationkey"], "p", F.lit(10.0), "fitted")
-    out = fitted.groupBy("c_nationkey").agg(
-        F.count("*").alias("members"), F.sum("p").alias("before"), F.sum("fitted").alias("after"))
-    return rounded(out, 6, "before", "after")
+    return rounded(fitted, 6, "p", "fitted")
 
 
 PROBABILITY_RECONCILE = """
-SELECT c_nationkey, count(*) AS members,
-  round(sum(least(greatest((c_acctbal + 1000) / 11000, 0), 1)), 6) AS before,
-  round(CAST(least(10, count(*)) AS DOUBLE), 6) AS after FROM customer GROUP BY 1"""
+WITH RECURSIVE p AS (SELECT c_custkey, c_nationkey,
+    least(greatest((c_acctbal + 1000) / 11000, 0), 1)::DOUBLE AS p FROM customer),
+l AS (SELECT *, ln(least(greatest(p, 1e-9), 1 - 1e-9) / (1 - least(greatest(p, 1e-9), 1 - 1e-9))) AS l
+  FROM p),
+s AS (SELECT c_nationkey, list(l) AS ls, -40::DOUBLE AS lo, 40::DOUBLE AS hi, 0 AS i FROM l GROUP BY 1
+  UNION ALL SELECT c_nationkey, ls, CASE WHEN t < 10 THEN m ELSE lo END,
+    CASE WHEN t < 10 THEN hi ELSE m END, i + 1
+  FROM (SELECT *, (lo + hi) / 2 AS m, list_sum([1 / (1 + exp(-(x + (lo + hi) / 2))) FOR x IN ls]) AS t
+    FROM s WHERE i < 60))
+SELECT c_custkey, c_nationkey, round(p, 6) AS p, round(CASE WHEN len(ls) <= 10 THEN 1
+  ELSE 1 / (1 + exp(-(l + (lo + hi) / 2))) END, 6) AS fitted
+FROM l JOIN s USING (c_nationkey) WHERE i = 60"""
 
 
 def q_availability_adjust(spark, folder):

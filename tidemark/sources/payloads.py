@@ -19,7 +19,7 @@ from tidemark.operators.guards import (
     require_unique,
 )
 from tidemark.operators.joins import lookup
-from tidemark.operators.managers import lineup_role
+from tidemark.operators.managers import lineup_role, pick_violations
 
 # Field names of the payloads, their column names and order.
 PLAYER_RENAMES = {
@@ -188,10 +188,10 @@ def live_stats(payload: DataFrame, season: str, ingested_at: str,
 
 
 def manager_picks(payload: DataFrame, manager_id, season: str, gameweek: int,
-                  collected_at: str) -> tuple[DataFrame, DataFrame]:
+                  collected_at: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Picks and one row per manager. ``manager_id`` is a column of the payload.
 
-    History fields are added to the manager row but never replace its identity.
+    Picks that break a rule (with ``known``, also picks of unknown players) fail. History fields are added to the manager row but never replace its identity.
     """
     identity = [
         manager_id.alias("manager_id"), F.lit(season).alias("season"),
@@ -205,6 +205,7 @@ def manager_picks(payload: DataFrame, manager_id, season: str, gameweek: int,
         F.col("p.is_captain").alias("is_captain"),
         F.col("p.is_vice_captain").alias("is_vice_captain"),
     ).withColumn("lineup_role", lineup_role(F.col("squad_position")))
+    require_no_rows(pick_violations(rows, ["manager_id"], known), "picks break the rules")
     taken = {"manager_id", "season", "gameweek", "collected_at", "active_chip"}
     history = [f.name for f in payload.schema["entry_history"].dataType if f.name not in taken]
     managers = payload.select(

@@ -37,6 +37,7 @@ from tidemark.operators.squads import (
 )
 from tidemark.operators.transfers import (
     best_replacements,
+    best_single_swap,
     budgets,
     selectable,
     selling_prices,
@@ -126,6 +127,59 @@ SELECT squad_id, out_id, in_id, gain FROM (SELECT *, row_number() OVER (PARTITIO
   ORDER BY gain DESC, in_id, out_id) AS r FROM c) WHERE r = 1"""
 
 
+TRADE = SquadRules(
+    squad_size=6, starting_size=3, budget=1e9, max_per_club=SWAP_CAP, positions=tuple(
+        PositionRule(i, f"P{i}", 2, 0, 2) for i in (1, 2, 3)))
+
+
+def q_trade_value(spark, folder):
+    """What each order is worth after its best single swap, or none, and without one.
+
+    Roles come from the part's type, clubs from its brand; an order has its own
+    value and up to 0.3 more to spend; a swap costs two points more than one is free.
+    """
+    kind = F.col("p_type")
+    role = F.when(kind.isin("ECONOMY", "LARGE"), 1).when(kind.isin("MEDIUM", "PROMO"), 2).otherwise(3)
+    parts = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("player_id"), role.alias("position_id"), F.col("p_brand").alias("club_id"),
+        ticks(F.col("p_retailprice")).alias("price_ticks"), F.col("p_size").cast("double").alias("points"))
+    held = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("squad_id"), F.col("l_partkey").alias("player_id")).distinct()
+    members = held.join(parts, "player_id").withColumnRenamed("price_ticks", "sell_ticks")
+    money = members.groupBy("squad_id").agg(
+        ((F.sum("sell_ticks") + F.col("squad_id") % 4) / 10.0).alias("budget"))
+    swapped = best_single_swap(members, parts, TRADE, money, MAX_TICKS, free_transfers=0, hit_cost=2.0)
+    kept = best_single_swap(members, parts.limit(0), TRADE, money, MAX_TICKS)
+    out = swapped.select("squad_id", "objective").join(
+        kept.select("squad_id", F.col("objective").alias("without")), "squad_id")
+    return rounded(out, 4, "objective", "without")
+
+
+TRADE_VALUE = f"""
+WITH h AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS p FROM lineitem),
+a AS (SELECT p_partkey AS p, CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN 1
+    WHEN p_type IN ('MEDIUM', 'PROMO') THEN 2 ELSE 3 END AS pos, p_brand AS club,
+  CAST(round(p_retailprice * 10) AS BIGINT) AS t, p_size::DOUBLE AS pts FROM part),
+m AS (SELECT h.s, a.* FROM h JOIN a USING (p)),
+k AS (SELECT s, club, count(*) AS n FROM m GROUP BY 1, 2),
+o AS (SELECT m.s, m.p AS gone, max(i.pts) AS pts FROM m
+  JOIN a AS i ON i.pos = m.pos AND i.t <= m.t + m.s % 4
+  LEFT JOIN k ON k.s = m.s AND k.club = i.club LEFT JOIN h ON h.s = m.s AND h.p = i.p
+  WHERE h.p IS NULL AND coalesce(k.n, 0) - CASE WHEN i.club = m.club THEN 1 ELSE 0 END < {SWAP_CAP}
+  GROUP BY 1, 2),
+c AS (SELECT DISTINCT s, -1 AS gone, 0::DOUBLE AS pts FROM m UNION ALL SELECT * FROM o),
+v AS (SELECT c.s, c.gone, m.pos, CASE WHEN m.p = c.gone THEN c.pts ELSE m.pts END AS x
+  FROM c JOIN m ON m.s = c.s),
+r AS (SELECT *, row_number() OVER (PARTITION BY s, gone, pos ORDER BY x DESC) AS r FROM v),
+z AS (SELECT *, row_number() OVER (PARTITION BY s, gone ORDER BY CASE WHEN r <= 2 THEN 0 ELSE 1 END, x DESC)
+  AS z FROM r),
+e AS (SELECT s, gone, 0.1 * sum(x) + 0.9 * sum(x) FILTER (WHERE r <= 2 AND z <= 3) + max(x)
+    - CASE WHEN gone < 0 THEN 0 ELSE 2 END AS worth
+  FROM z GROUP BY 1, 2 HAVING count(*) FILTER (WHERE r <= 2 AND z <= 3) = 3)
+SELECT s AS squad_id, round(max(worth)::DOUBLE, 4) AS objective,
+  round((max(worth) FILTER (WHERE gone < 0))::DOUBLE, 4) AS without FROM e GROUP BY 1"""
+
+
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 LEGAL = SquadRules(
     squad_size=6, starting_size=4, budget=8000.0, max_per_club=2, positions=tuple(
@@ -661,6 +715,7 @@ SELECT model, count(*) AS rows, round(avg(abs(p - a)), 4) AS mae, round(sqrt(avg
 QUERIES = {
     "best_lineup": (q_best_lineup, BEST_LINEUP),
     "single_swap": (q_single_swap, SINGLE_SWAP),
+    "trade_value": (q_trade_value, TRADE_VALUE),
     "group_legality": (q_group_legality, GROUP_LEGALITY),
     "legal_draws": (q_legal_draws, LEGAL_DRAWS),
     "selection_rates": (q_selection_rates, SELECTION_RATES),

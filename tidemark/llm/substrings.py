@@ -24,7 +24,7 @@ from tidemark.llm.common import texts, written
 LENGTH = 400
 GRAM = 128
 # Stretches of one anchor that one collection holds; more are dealt over several.
-SHARE = 2048
+SHARE = 16_384
 # Stretches whose columns are read together.
 COLLECTION = 4096
 

@@ -97,8 +97,7 @@ FROM fitted
 def op8_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     """What line deduplication leaves of every document."""
     kept = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"),
-                       F.sha2(F.coalesce("_text", F.lit("")), 256).alias("kept_sha256"))
+    return kept.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_simhash_covering(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,14 +113,14 @@ def op10_toxicity_trees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op4_column_suffixes": (op4_column_suffixes, None),
-    "op6_personal_tagger": (op6_personal_tagger, None),
     "op1_weighted_sampling": (op1_weighted_sampling, None),
+    "op2_bpe_tree": (op2_bpe_tree, None),
     "op3_token_files": (op3_token_files, None),
+    "op4_column_suffixes": (op4_column_suffixes, None),
+    "op5_positional_index": (op5_positional_index, None),
+    "op6_personal_tagger": (op6_personal_tagger, None),
     "op7_url_rules": (op7_url_rules, URL_SQL),
-    "op2_bpe_tree": (op2_bpe_tree, None),
     "op8_fuzzy_lines": (op8_fuzzy_lines, None),
-    "op5_positional_index": (op5_positional_index, None),
     "op9_simhash_covering": (op9_simhash_covering, None),
     "op10_toxicity_trees": (op10_toxicity_trees, None),
 }

@@ -20,17 +20,47 @@ from tidemark.llm.ordered_blocks import block_bounds, block_of
 
 # Bounds of the dictionary's training: documents, ids of each, dictionary bytes.
 SAMPLE_DOCUMENTS, SAMPLE_IDS, DICTIONARY_BYTES = 2000, 4096, 65_536
-LEVEL = 3
+LEVEL = 1
 # Compressed bytes of a pack, more only if a single document has more.
 PACK_BYTES = 1 << 18
 # Chunks remembered by a worker.
-CHUNK, REMEMBERED = 48, 600_000
+CHUNK, REMEMBERED = 48, 1_600_000
 
 # White space of the tokenizer's patterns, written out: Python's own class has more.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNUSUAL = re.compile(r"[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
 _CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+class Recent:
+    """A bounded memory in two generations: what was used of late stays."""
+
+    def __init__(self, bound: int):
+        self.bound = bound // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, keys: list[str], learn) -> list[bytes]:
+        """The values of the keys; ``learn`` gives those of new ones."""
+        found = list(map(self.young.get, keys))
+        if None not in found:
+            return found
+        young, old = self.young, self.old
+        holes = [i for i, f in enumerate(found) if f is None]
+        new = [k for k in dict.fromkeys([keys[i] for i in holes]) if k not in old]
+        fresh = dict(zip(new, learn(new)))
+        for i in holes:
+            k = keys[i]
+            found[i] = f = fresh[k] if k in fresh else old[k]
+            if len(k) <= CHUNK:
+                young[k] = f
+        if len(young) > self.bound:
+            self.old, self.young = young, {}
+        return found
+
+
 class ByteEncoder:
     """The tokenizers library on a byte-level BPE file, with a bounded memory of chunks.
 
@@ -46,28 +76,60 @@ class ByteEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memory: dict[str, bytes] = {}
+        self.chunks, self.spaced = Recent(REMEMBERED // 8), Recent(REMEMBERED)
+        vocabulary = self.library.get_vocab()
+        # Ids of tokens that begin with a space.
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
 
     def _whole(self, rows: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(rows, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters behind a space: one text in which each token run opens with its space."""
+        ids = np.frombuffer(self._whole([" " + " ".join(words)])[0], dtype="<u4")
+        cuts = (4 * np.append(np.flatnonzero(self.opens[ids]), len(ids))).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, keys: list[str]) -> list[bytes]:
+        """Ids of new keys: a word behind a space, or from a line end on.
+
+        Letters with marks after them are two runs to the pattern: the letters may
+        be known already.
+        """
+        letters, marked, other = [], [], []
+        for k in keys:
+            if _LETTERS.fullmatch(k):
+                letters.append(k)
+            elif m := _MARKED.fullmatch(k):
+                marked.append((k, *m.groups()))
+            else:
+                other.append(k)
+        out = dict(zip(letters, self._words(letters))) if letters else {}
+        if marked:
+            bare = [b for _, b, _ in marked]
+            known = dict(zip(bare, [out[b] if b in out else None for b in bare]))
+            unknown = [b for b, f in known.items() if f is None]
+            known.update(zip(unknown, self.spaced.find(unknown, self._words)))
+            marks = self.chunks.find([m for *_, m in marked], self._whole)
+            out.update((k, known[b] + m) for (k, b, _), m in zip(marked, marks))
+        if other:
+            out.update(zip(other, self._whole([k if k[:1] == "\n" else " " + k for k in other])))
+        return [out[k] for k in keys]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
             return self._whole([text])[0]
-        chunks = _CHUNKS.findall(text)
-        try:
-            return b"".join(map(self.memory.__getitem__, chunks))
-        except KeyError:
-            memory = self.memory
-            new = [c for c in dict.fromkeys(chunks) if c not in memory]
-            fresh = dict(zip(new, self._whole(new)))
-            out = b"".join([memory[c] if c in memory else fresh[c] for c in chunks])
-            if len(memory) + len(fresh) > REMEMBERED:
-                memory.clear()
-            memory.update((c, i) for c, i in fresh.items() if len(c) <= CHUNK)
-            return out
+        padded = f"\n{text}\n"
+        if _UNUSUAL.search(text) or any(s in padded for s in ("  ", "\n\n", "\n ", " \n")):
+            return b"".join(self.chunks.find(_CHUNKS.findall(text), self._whole))
+        # Words parted by single spaces, lines by single line ends: a line's first
+        # word goes with the line end before it, also the text's, which is then cut off.
+        words = padded[:-1].replace("\n", " \n").split(" ")[1:]
+        return b"".join(self.spaced.find(words, self._learn))[4:]
 
 
 @functools.lru_cache(maxsize=2)

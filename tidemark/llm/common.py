@@ -81,15 +81,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def stars(rows: DataFrame, bucket: list[str], item: str) -> tuple[DataFrame, DataFrame]:
+def stars(rows: DataFrame, bucket: list[str], item: str, mark: bool = False) -> DataFrame:
     """Compare every member of a bucket with one leader instead of with all members.
 
-    ``rows`` has the columns of ``bucket`` and a bigint ``item``. Returns
-    ``(members, sizes)``: members of buckets of two or more items as
-    (bucket..., item, leader, n). The leader is the smallest item. Buckets are
-    counted with map-side combine and joined back, so that a bucket holding a third
-    of all rows is split over tasks like any skewed join.
+    ``rows`` has the columns of ``bucket`` and a bigint ``item``. Returns the members
+    of buckets of two or more items as (bucket..., item, leader, n). The leader is the
+    smallest item; ``mark`` adds a hash of the whole bucket, equal for buckets of
+    equal items. Buckets are counted with map-side combine and joined back, so that a
+    bucket holding a third of all rows is split over tasks like any skewed join.
     """
-    sizes = (rows.groupBy(*bucket).agg(F.min(item).alias("leader"), F.count("*").alias("n"))
-             .where("n > 1"))
-    return rows.join(sizes, bucket), sizes
+    more = [F.bit_xor(F.xxhash64(item)).alias("mark")] if mark else []
+    sizes = rows.groupBy(*bucket).agg(F.min(item).alias("leader"), F.count("*").alias("n"), *more).where("n > 1")
+    return rows.join(sizes, bucket)

@@ -30,11 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round halves the depth of the trees and is written to the shared folder;
     the driver sees one count and one checksum a round. Ends when a round changes
-    nothing. Nulls are no nodes; self links and repeated links are harmless. An
-    empty table gives an empty result.
+    nothing. Nulls are no nodes, repeated links are harmless, a link of a node to
+    itself says nothing. An empty table gives an empty result.
     """
     edges = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
-    loops = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     now = written(edges.where("a <> b").distinct(), "links")
     seen = None
     while True:
@@ -44,6 +43,4 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         now = written(_small_star(_large_star(now)), "links")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = now.select(F.col("b").alias("node")).union(loops).distinct().join(
-        nodes.select("node"), "node", "left_anti")
-    return nodes.union(roots.select("node", F.col("node").alias("root")))
+    return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

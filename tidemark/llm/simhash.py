@@ -114,7 +114,7 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
                                F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"))
                       for v, m in enumerate(covering_masks(radius))])
     rows = prints.select("fp", F.explode(masks).alias("t")).select("t.v", "t.key", "fp")
-    members, _ = stars(rows, ["v", "key"], "fp")
+    members = stars(rows, ["v", "key"], "fp")
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("leader")))
     members = written(members.withColumn("far", apart > radius), "buckets")
     near = members.where("not far and fp <> leader").select(F.col("fp").alias("a"), F.col("leader").alias("b"))

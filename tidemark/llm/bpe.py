@@ -22,7 +22,7 @@ LEAF = 32_768
 # Code points on either side of a join that are encoded again at first.
 MARGIN = 32
 # Chunks without white space up to this length are remembered by a worker, this many at most.
-CHUNK, REMEMBERED = 64, 300_000
+CHUNK, REMEMBERED = 64, 250_000
 
 # White space to Python's split() but not to the tokenizer's patterns.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\u180e]")

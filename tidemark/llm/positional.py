@@ -14,7 +14,7 @@ from tidemark.llm.common import texts, written
 
 WINDOW = 13
 # Words of one index row, more only if a single document has more.
-ROW_WORDS = 200_000
+ROW_WORDS = 100_000
 # Query windows searched in one pass over the index.
 PASS_WINDOWS = 200_000
 
@@ -99,6 +99,15 @@ class _Row:
                      == np.searchsorted(self.ends, first + length - 1, "right")]
 
 
+def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """Index rows with words, one opened at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            record = batch.slice(i, 1).to_pylist()[0]
+            if any(record["doc_words"]):
+                yield record
+
+
 def _phrase(row: _Row, terms: np.ndarray) -> np.ndarray:
     """Starts of a phrase: lists shifted by their offset, intersected from the rarest."""
     order = np.argsort(row.counts[terms], kind="stable")
@@ -142,32 +151,29 @@ def _search(batches: Iterable[pa.RecordBatch], asked: list[tuple[tuple, list[str
     every = {t: i for i, t in enumerate(dict.fromkeys(t for window, _ in asked for t in window))}
     grids = {n: (np.array(which), np.array([[every[t] for t in asked[i][0]] for i in which]))
              for n, which in by_length.items()}
-    for batch in batches:
-        for record in batch.to_pylist():
-            if not any(record["doc_words"]):
-                continue
-            row = _Row(record)
-            place = np.fromiter((row.place.get(t, -1) for t in every), dtype=np.int64, count=len(every))
-            marks = np.zeros(row.ends[-1] + 1, dtype=np.int32)
-            items: dict[int, set[str]] = {}
-            for n, (which, grid) in grids.items():
-                local = place[grid]
-                for at in np.nonzero((local >= 0).all(axis=1))[0]:
-                    starts = _phrase(row, local[at])
-                    if not len(starts):
-                        continue
-                    np.add.at(marks, starts, 1)
-                    np.add.at(marks, starts + n, -1)
-                    for doc in np.unique(np.searchsorted(row.ends, starts, "right")).tolist():
-                        items.setdefault(doc, set()).update(asked[which[at]][1])
-            covered = np.cumsum(marks[:-1]) > 0
-            for doc, names in items.items():
-                end = row.ends[doc]
-                bits = np.packbits(covered[end - row.lengths[doc]:end]).tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([record["row_id"]], pa.int64()), pa.array([doc], pa.int32()),
-                     pa.array([bits], pa.binary()), pa.array([sorted(names)], pa.list_(pa.string()))],
-                    ["row_id", "doc", "bits", "items"])
+    for record in _records(batches):
+        row = _Row(record)
+        place = np.fromiter((row.place.get(t, -1) for t in every), dtype=np.int64, count=len(every))
+        marks = np.zeros(row.ends[-1] + 1, dtype=np.int32)
+        items: dict[int, set[str]] = {}
+        for n, (which, grid) in grids.items():
+            local = place[grid]
+            for at in np.nonzero((local >= 0).all(axis=1))[0]:
+                starts = _phrase(row, local[at])
+                if not len(starts):
+                    continue
+                np.add.at(marks, starts, 1)
+                np.add.at(marks, starts + n, -1)
+                for doc in np.unique(np.searchsorted(row.ends, starts, "right")).tolist():
+                    items.setdefault(doc, set()).update(asked[which[at]][1])
+        covered = np.cumsum(marks[:-1]) > 0
+        for doc, names in items.items():
+            end = row.ends[doc]
+            bits = np.packbits(covered[end - row.lengths[doc]:end]).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([record["row_id"]], pa.int64()), pa.array([doc], pa.int32()),
+                 pa.array([bits], pa.binary()), pa.array([sorted(names)], pa.list_(pa.string()))],
+                ["row_id", "doc", "bits", "items"])
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,37 +223,36 @@ def proximity_matches(index: DataFrame, terms: list[str], span: int) -> DataFram
     wanted = sorted({w for t in terms for w in words_of(t)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for record in batch.to_pylist():
-                if not wanted or not any(record["doc_words"]):
-                    continue
-                row = _Row(record)
-                local = [row.place.get(t, -1) for t in wanted]
-                if min(local) < 0:
-                    continue
-                rare = row.list_of(min(local, key=lambda t: row.counts[t]))
-                events = []
-                for i, term in enumerate(local):
-                    p = row.list_of(term)  # only what is near the rarest term
-                    at = np.clip(np.searchsorted(rare, p), 1, len(rare) - 1) if len(rare) > 1 else np.zeros(len(p), int)
-                    away = np.minimum(abs(rare[at] - p), abs(rare[np.maximum(at - 1, 0)] - p))
-                    events += [(int(x), i) for x in p[away < span]]
-                events.sort()
-                last = [-1] * len(wanted)
-                stretches: list[tuple[int, int]] = []
-                for x, i in events:
-                    last[i] = x
-                    low = min(last)
-                    if low >= 0 and x - low < span and row.ends.searchsorted(low, "right") == row.ends.searchsorted(x, "right"):
-                        if stretches and stretches[-1][0] == low:
-                            continue  # the earlier end is inside
-                        stretches.append((low, x))
-                for low, x in stretches:
-                    doc = int(row.ends.searchsorted(low, "right"))
-                    first = int(row.ends[doc] - row.lengths[doc])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([record["doc_ids"][doc]], pa.int64()), pa.array([low - first], pa.int64()),
-                         pa.array([x - low + 1], pa.int64())], ["doc_id", "start", "length"])
+        if not wanted:
+            return
+        for record in _records(batches):
+            row = _Row(record)
+            local = [row.place.get(t, -1) for t in wanted]
+            if min(local) < 0:
+                continue
+            rare = row.list_of(min(local, key=lambda t: row.counts[t]))
+            events = []
+            for i, term in enumerate(local):
+                p = row.list_of(term)  # only what is near the rarest term
+                at = np.clip(np.searchsorted(rare, p), 1, len(rare) - 1) if len(rare) > 1 else np.zeros(len(p), int)
+                away = np.minimum(abs(rare[at] - p), abs(rare[np.maximum(at - 1, 0)] - p))
+                events += [(int(x), i) for x in p[away < span]]
+            events.sort()
+            last = [-1] * len(wanted)
+            stretches: list[tuple[int, int]] = []
+            for x, i in events:
+                last[i] = x
+                low = min(last)
+                if low >= 0 and x - low < span and row.ends.searchsorted(low, "right") == row.ends.searchsorted(x, "right"):
+                    if stretches and stretches[-1][0] == low:
+                        continue  # the earlier end is inside
+                    stretches.append((low, x))
+            for low, x in stretches:
+                doc = int(row.ends.searchsorted(low, "right"))
+                first = int(row.ends[doc] - row.lengths[doc])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([record["doc_ids"][doc]], pa.int64()), pa.array([low - first], pa.int64()),
+                     pa.array([x - low + 1], pa.int64())], ["doc_id", "start", "length"])
 
     return index.mapInArrow(run, "doc_id bigint, start bigint, length bigint")
 

@@ -14,7 +14,7 @@ from tidemark.llm.common import texts, written
 
 WINDOW = 13
 # Words of one index row, more only if a single document has more.
-ROW_WORDS = 50_000
+ROW_WORDS = 100_000
 # Query windows searched in one pass over the index.
 PASS_WINDOWS = 200_000
 

@@ -7,7 +7,7 @@ from cases import empty, odd, plain, small_docs
 
 from tidemark.llm.personal import (WIDTH, added_spans, base_spans, fit_tagger, in_order, luhn, personal_data,
                                    window_starts)
-from tidemark.llm.tagger import Tagger, char_classes, train
+from tidemark.llm.tagger import CLASSES, KINDS, Tagger, char_classes, train
 
 PATTERNS = {  # as stated, without the rewriting that keeps them linear
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -109,6 +109,47 @@ def test_tagger_adds_what_the_patterns_miss(spark):
     assert not any(added_spans(clean, [[] for _ in clean], model))
 
 
+def test_tagger_adds_emails_without_digit_or_sign(spark):
+    """Held-out: (at) and [at] in texts that have neither digit nor @, short and over 48 code points."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = fit_tagger(docs.where("doc_id % 2 = 0"))
+    source = random.Random(6)
+    clean = [r["text"] for r in docs.where("doc_id % 2 = 1 and n_chars < 900").limit(400).collect() if not re.search("[0-9@]", r["text"])]
+    names = ["jane", "peter", "maria", "lopez", "smith", "olga", "brown", "keller"]
+    hits, wrong = {False: [], True: []}, 0
+    for n, text in enumerate(clean):
+        cut, long = source.randrange(len(text)), n % 2 == 1
+        local = ".".join(source.choices(names, k=4 if long else 2))
+        site = ".".join(source.choices(["mail", "physics", "example", "library", "northern"], k=3 if long else 1)) + ".org"
+        span = local + source.choice([" (at) ", "(at)", " [at] ", "[at]"]) + site
+        made = text[:cut] + " " + span + " " + text[cut:]
+        assert not re.search("[0-9@]", made)
+        hits[long].append(("email", cut + 1, cut + 1 + len(span)) in added_spans([made], [[]], model)[0])
+        wrong += bool(added_spans([text[:cut] + " (at) " + text[cut:]], [[]], model)[0])
+    assert len(clean) > 50 and wrong <= 0.1 * len(clean)
+    assert all(sum(v) >= 0.8 * len(v) for v in hits.values())
+
+
+class Digits:
+    """Stands for a model: whatever is no small letter belongs to a phone number."""
+
+    def decode(self, cls):
+        inside = (cls > 26).T & (cls < CLASSES).T
+        before = np.roll(inside, 1, axis=1)
+        before[:, 0] = inside[:, 0]
+        code = 1 + 2 * KINDS.index("phone")
+        return np.where(inside, np.where(before, code + 1, code), 0), np.ones(inside.shape)
+
+
+def test_spans_of_any_length_are_joined():
+    for length in (12, 47, 48, 49, 60, 96, 97, 150, 400):
+        for lead in (1, 30, 47, 48, 49, 70, 95, 96, 97, 200):
+            span = "203" + " " * (length - 11) + "555-0142"
+            for tail in ("b" * 130, ""):
+                found = added_spans(["a" * lead + span + tail], [[]], Digits())
+                assert found == [[("phone", lead, lead + length)]], (length, lead, tail)
+
+
 def test_matches_brute_force(spark):
     rows = small_docs()
     model = fit_tagger(plain(spark, rows))

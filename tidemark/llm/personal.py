@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import hash_sample, texts
 from tidemark.llm.tagger import KINDS, Tagger, char_classes, train
 
-# Code points of a window and the distance of window starts; a span of up to the
-# difference lies whole in some window.
+# Code points of a window and the distance of window starts. A window speaks for its
+# middle; spans that cross into a neighbour's are joined, whatever their length.
 WIDTH, STRIDE = 96, 48
 # Bounds of the training: documents looked at, windows learnt from.
 SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 8000, 3000
@@ -34,8 +34,10 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-# No span of any kind is without one of these.
-TRIGGER = re.compile(r"[0-9@]")
+# How an email writes its sign, and what any span has: no kind is plausible without it.
+_SIGNS = r"@|\(at\)|\[at\]"
+TRIGGER = re.compile(rf"[0-9]|{_SIGNS}")
+_EMAIL = re.compile(rf"[^\s@]+ ?(?:{_SIGNS}) ?[^\s@]+")
 
 
 def luhn(digits: str) -> bool:
@@ -84,7 +86,7 @@ def _plausible(kind: str, text: str) -> bool:
     """What a span that the tagger adds must have: the digits or the sign of its kind."""
     digits = "".join(_DIGITS.findall(text))
     if kind == "email":
-        return bool(re.fullmatch(r"[^\s@]+ ?(?:@|\(at\)|\[at\]) ?[^\s@]+", text)) and len(text) >= 6
+        return bool(_EMAIL.fullmatch(text)) and len(text) >= 6
     if kind == "ip":
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not re.search(r"[A-Za-z]", text)
@@ -94,7 +96,7 @@ def _plausible(kind: str, text: str) -> bool:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold a trigger; others cannot hold a span."""
+    """Starts of the windows that hold the start of a trigger; every span has one."""
     wanted = set()
     for m in TRIGGER.finditer(text):
         k = m.start() // STRIDE
@@ -106,17 +108,28 @@ def _labels(spans: list[Span], start: int) -> np.ndarray:
     out = np.zeros(WIDTH, dtype=np.int64)
     for kind, a, b in spans:
         a, b = a - start, b - start
-        if 0 <= a and b <= WIDTH:
+        if a < WIDTH and b > 0:  # a cut span keeps the labels of its part
             code = 1 + 2 * KINDS.index(kind)
-            out[a] = code
-            out[a + 1:b] = code + 1
+            out[max(a, 0):b] = code + 1
+            if a >= 0:
+                out[a] = code
     return out
 
 
+_ALTERED_SIGNS = (" @ ", "(at)", "[at]", " (at) ", " [at] ")
+
+
+def _spelled(words: list[str], source: random.Random) -> str:
+    """An altered email of words without digits, short or long."""
+    local = source.choice("._-").join(source.choices(words, k=source.randrange(1, 6)))
+    site = ".".join(source.choices(words, k=source.randrange(1, 4)))
+    return local + source.choice(_ALTERED_SIGNS) + site + source.choice([".com", ".org", ".net", ".edu"])
+
+
 def _altered(kind: str, text: str, source: random.Random) -> str:
     """A way to write a span that the fixed patterns do not know."""
     if kind == "email":
-        return text.replace("@", source.choice([" @ ", "(at)", "[at]", " (at) ", " [at] "]))
+        return text.replace("@", source.choice(_ALTERED_SIGNS))
     if kind == "ip":
         return text.replace(".", source.choice(["[.]", ". ", "-"]))
     digits = "".join(_DIGITS.findall(text))
@@ -132,20 +145,27 @@ def _training_windows(text: str, seed: int) -> list[tuple[str, list[int]]]:
     source = random.Random(seed)
     spans = sorted(base_spans(text), key=lambda s: s[1])
     spans = [s for i, s in enumerate(spans) if not i or s[1] >= spans[i - 1][2]]
+    words = re.findall(r"[a-z]{2,12}", text[:4096].lower())
     out = []
     for kind, a, b in spans[:2]:
-        if b - a > WIDTH // 2:
-            continue
-        for changed in (text[a:b], *(_altered(kind, text[a:b], source) for _ in range(3))):
-            low = max(0, a - source.randrange(0, WIDTH - len(changed) + 1))
-            window = (text[low:a] + changed + text[b:b + WIDTH])[:WIDTH]
+        ways = [text[a:b], *(_altered(kind, text[a:b], source) for _ in range(3))]
+        if kind == "email" and words:
+            ways += [_spelled(words, source) for _ in range(4)]
+        for changed in ways:
+            room = WIDTH - len(changed)
+            low = max(0, a - source.randrange(room + 1)) if room >= 0 else a + source.randrange(1 - room)
+            window = (text[low:a] + changed + text[b:b + WIDTH])[max(0, low - a):][:WIDTH]
             shift = len(changed) - (b - a)
             marks = [(kind, a, a + len(changed))] + [(k, x + shift, y + shift) for k, x, y in spans if x >= b]
             marks += [(k, x, y) for k, x, y in spans if y <= a]
-            out.append((window, _labels([m for m in marks if m[2] - low <= WIDTH], low).tolist()))
+            out.append((window, _labels(marks, low).tolist()))
     free = [w for w in window_starts(text) if not any(a < w + WIDTH and b > w for _, a, b in spans)]
     for w in free[:2]:
         out.append((text[w:w + WIDTH], [0] * WIDTH))
+        if words and spans:  # a sign between words is no email yet
+            cut = source.randrange(WIDTH)
+            sign = source.choice(_ALTERED_SIGNS[1:])
+            out.append(((text[w:w + cut] + sign + text[w + cut:w + WIDTH].lstrip(". "))[:WIDTH], [0] * WIDTH))
     return out
 
 
@@ -194,39 +214,83 @@ def _reconcile(candidates: dict[Span, float]) -> list[Span]:
     return out
 
 
+def _pieces(marks: np.ndarray, shares: np.ndarray, at: int) -> list[list]:
+    """[kind, start, end, sum of probabilities, begun] of the labelled runs of a stretch from ``at``."""
+    out: list[list] = []
+    for t in np.nonzero(marks)[0].tolist():
+        kind, begun = divmod(int(marks[t]) - 1, 2)
+        if out and begun and out[-1][0] == kind and out[-1][2] == at + t:
+            out[-1][2] += 1
+            out[-1][3] += float(shares[t])
+        else:
+            out.append([kind, at + t, at + t + 1, float(shares[t]), not begun])
+    return out
+
+
+def _joined(pieces: list[list]) -> list[list]:
+    """Spans made of two or more pieces of neighbouring windows."""
+    out: list[list] = []
+    for kind, a, b, total, begun in sorted(pieces, key=lambda p: p[1]):
+        if out and not begun and out[-1][0] == kind and out[-1][2] == a:
+            out[-1][2:] = [b, out[-1][3] + total, out[-1][4] + 1]
+        else:
+            out.append([kind, a, b, total, 1])
+    return [s for s in out if s[4] > 1]
+
+
 def added_spans(rows: list[str], base: list[list[Span]], model: Tagger | None) -> list[list[Span]]:
     """What the tagger adds to each text's base spans.
 
-    All windows with a trigger are decoded; a span cut by an inner window edge is
-    left to the overlapping window. Candidates of all windows of a text are weighed
-    against each other; spans that meet a base span, are unsure or lack what their
-    kind needs go.
+    All windows with a trigger are decoded, and their neighbours as far as a span
+    goes on in them. Candidates are the spans inside a window, and those joined from
+    the middles of neighbouring windows, so no length is too long. Candidates of all
+    windows of a text are weighed against each other; spans that meet a base span,
+    are unsure or lack what their kind needs go.
     """
     out: list[list[Span]] = [[] for _ in rows]
     if model is None:
         return out
     places = [(i, w) for i, text in enumerate(rows) for w in window_starts(text)]
+    known = set(places)
     candidates: list[dict[Span, float]] = [{} for _ in rows]
-    for lo in range(0, len(places), DECODED):
-        part = places[lo:lo + DECODED]
-        cls = np.stack([char_classes(rows[i][w:w + WIDTH], WIDTH) for i, w in part])
-        labels, sure = model.decode(cls.T)
-        for (i, w), marks, shares in zip(part, labels, sure):
-            begins = np.nonzero(marks % 2 == 1)[0]
-            for a in begins.tolist():
-                b = a + 1
-                while b < WIDTH and marks[b] == marks[a] + 1:
-                    b += 1
-                start, end = w + a, min(w + b, len(rows[i]))
-                if (a == 0 and w) or (b == WIDTH and end < len(rows[i])):
-                    continue
-                score = float(shares[a:b].mean())
-                kind = KINDS[(int(marks[a]) - 1) // 2]
-                if score < SURE or not _plausible(kind, rows[i][start:end]):
+    pieces: list[list[list]] = [[] for _ in rows]
+
+    def weigh(i: int, label: int, start: int, end: int, score: float) -> None:
+        key = (KINDS[label], start, end)
+        if score >= SURE and _plausible(key[0], rows[i][start:end]):
+            candidates[i][key] = max(score, candidates[i].get(key, 0.0))
+
+    edge = (WIDTH - STRIDE) // 2
+    while places:
+        wanted = set()
+        for lo in range(0, len(places), DECODED):
+            part = places[lo:lo + DECODED]
+            cls = np.stack([char_classes(rows[i][w:w + WIDTH], WIDTH) for i, w in part])
+            labels, sure = model.decode(cls.T)
+            for (i, w), marks, shares in zip(part, labels, sure):
+                size = len(rows[i])
+                for a in np.nonzero(marks % 2 == 1)[0].tolist():
+                    b = a + 1
+                    while b < WIDTH and marks[b] == marks[a] + 1:
+                        b += 1
+                    start, end = w + a, min(w + b, size)
+                    if start >= size or (a == 0 and w) or (b == WIDTH and end < size):
+                        continue
+                    weigh(i, (int(marks[a]) - 1) // 2, start, end, float(shares[a:b].mean()))
+                first, last = w + edge if w else 0, min(w + edge + STRIDE, size)
+                if first >= last or not marks[first - w:last - w].any():
                     continue
-                key = (kind, start, end)
-                candidates[i][key] = max(score, candidates[i].get(key, 0.0))
+                found = _pieces(marks[first - w:last - w], shares[first - w:last - w], first)
+                if w and found[0][1] == first and not found[0][4]:
+                    wanted.add((i, w - STRIDE))
+                if found[-1][2] == last < size:
+                    wanted.add((i, w + STRIDE))
+                pieces[i] += found
+        places = sorted(p for p in wanted - known if p[1] < len(rows[p[0]]))
+        known.update(places)
     for i, found in enumerate(candidates):
+        for label, start, end, total, _ in _joined(pieces[i]):
+            weigh(i, label, start, end, total / (end - start))
         free = {s: v for s, v in found.items() if not any(s[1] < b and a < s[2] for _, a, b in base[i])}
         out[i] = _reconcile(free) if free else []
     return out

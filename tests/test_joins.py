@@ -11,6 +11,8 @@ from tidemark.operators.joins import (
     inner_with_suffix,
     lookup,
     newest_identity,
+    match_names,
+    match_readings,
     reading_consensus,
     rows_of,
 )
@@ -86,3 +88,27 @@ def test_rates_count_managers_once(spark):
     out = {r["p"]: r for r in selection_rates(df, "p", "m", no, no, no).collect()}
     assert out["a"]["sample_ownership_percent"] == 100.0
     assert out["b"]["sample_ownership_percent"] == 50.0
+
+
+def test_unmatched_names_are_returned(spark):
+    observed = spark.createDataFrame([("saka",), ("zzzz",), ("",), (None,)], "n string")
+    names = spark.createDataFrame([(1, "Bukayo Saka", "Saka"), (2, "Salah", None)], "i int, f string, s string")
+    with pytest.raises(TypeError):
+        match_names(observed, "n", names, "i", "s")
+    got = {r["observed"]: tuple(r)[1:] for r in match_names(
+        observed, "n", names, "i", ["f", "s"], 0.8).collect()}
+    nothing = (None, None, None)
+    assert got == {"saka": (1, 1.0, 1), "zzzz": nothing, "": nothing, None: nothing}
+
+
+def test_readings_below_the_minimum_are_blended(spark):
+    """Readings 1.0 and 0.5 give 0.8875; a reading that recurs counts as often."""
+    observed = spark.createDataFrame(
+        [("a", "abcd"), ("a", "abxy"), ("b", "abcd"), ("b", "abxy"), ("b", "abxy"), ("c", "qqqq")],
+        "slot string, n string")
+    names = spark.createDataFrame([(1, "other", "abcd")], "i int, f string, s string")
+    got = {r["observed_id"]: tuple(r)[1:] for r in match_readings(
+        observed, "slot", "n", names, "i", ["f", "s"], 0.8).collect()}
+    assert got["a"] == (1, pytest.approx(0.55 + 0.45 * 0.75), 1)
+    assert got["b"] == (1, pytest.approx(0.55 + 0.45 * 0.5), 1)
+    assert got["c"] == (None, None, None)

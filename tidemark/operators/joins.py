@@ -110,12 +110,31 @@ def _grams(text: Column, size: int) -> Column:
     )
 
 
-def match_names(
-    observed: DataFrame, observed_text: str, candidates: DataFrame, candidate_id: str,
-    candidate_text: str, minimum: float = 0.8, top: int = 8, gram: int = 2,
-    observed_group: str | None = None, candidate_group: str | None = None,
+def _forms(text: Column) -> Column:
+    """The texts an observed one is compared by: as a whole, and its longer words."""
+    words = F.filter(F.split(fold(text), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
+    return F.array_union(F.array(match_key(text)), words)
+
+
+def _aliases(
+    candidates: DataFrame, candidate_id: str, candidate_text: str | Sequence[str],
+    candidate_group: str | None,
 ) -> DataFrame:
-    """Up to ``top`` candidates scoring at least ``minimum`` per distinct text.
+    """Every different alias of every candidate."""
+    columns = [candidate_text] if isinstance(candidate_text, str) else candidate_text
+    return candidates.select(
+        F.col(candidate_id).alias("candidate"),
+        F.explode(F.array(*[match_key(F.col(c)) for c in columns])).alias("__c"),
+        *([F.col(candidate_group).alias("__h")] if candidate_group else []),
+    ).filter("__c <> ''").distinct()
+
+
+def _best_pairs(
+    observed: DataFrame, observed_text: str, candidates: DataFrame, candidate_id: str,
+    candidate_text: str | Sequence[str], minimum: float, gram: int,
+    observed_group: str | None, candidate_group: str | None,
+) -> tuple[DataFrame, DataFrame]:
+    """All distinct observed texts, and all pairs that reach ``minimum`` with their score.
 
     An observed text is compared as a whole and word by word (words of three
     letters or more); the best comparison counts. Each distinct spelling is
@@ -131,16 +150,12 @@ def match_names(
     """
     if not 0 < minimum <= 1:
         raise ContractError("minimum must be in (0, 1]")
-    words = F.filter(F.split(fold(F.col("observed")), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
-    forms = F.array_union(F.array(match_key(F.col("observed"))), words)
-    left = observed.select(
+    asked = observed.select(
         F.col(observed_text).alias("observed"),
         *([F.col(observed_group).alias("observed_group")] if observed_group else []),
-    ).distinct().withColumn("__o", F.explode(forms)).filter("__o <> ''")
-    right = candidates.select(
-        F.col(candidate_id).alias("candidate"), match_key(F.col(candidate_text)).alias("__c"),
-        *([F.col(candidate_group).alias("__h")] if candidate_group else []),
-    ).filter("__c <> ''").distinct()
+    ).distinct()
+    left = asked.withColumn("__o", F.explode(_forms(F.col("observed")))).filter("__o <> ''")
+    right = _aliases(candidates, candidate_id, candidate_text, candidate_group)
     texts = left.select(F.col("__o").alias("text"), F.lit(True).alias("__left")).unionByName(
         right.select(F.col("__c").alias("text"), F.lit(False).alias("__left"))
     ).groupBy("text").agg(
@@ -188,9 +203,64 @@ def match_names(
     if observed_group and candidate_group:
         named = named.filter(
             F.col("observed_group").isNull() | (F.col("observed_group") == F.col("__h")))
-    best = named.groupBy(*keys, "candidate").agg(F.max("score").alias("score"))
+    return asked, named.groupBy(*keys, "candidate").agg(F.max("score").alias("score"))
+
+
+def _placed(asked: DataFrame, best: DataFrame, keys: Sequence[str], top: int) -> DataFrame:
+    """The ``top`` candidates per key; a key without any stays, with a null candidate."""
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("candidate"))
-    return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
+    ranked = best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
+    named = ranked.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return asked.join(named, same, "left").select(*keys, "candidate", "score", "place")
+
+
+def match_names(
+    observed: DataFrame, observed_text: str, candidates: DataFrame, candidate_id: str,
+    candidate_text: str | Sequence[str], minimum: float, top: int = 8, gram: int = 2,
+    observed_group: str | None = None, candidate_group: str | None = None,
+) -> DataFrame:
+    """Up to ``top`` candidates scoring at least ``minimum`` per distinct text.
+
+    Of several alias columns of a candidate the best counts. A text that no
+    candidate reaches is returned once, with null candidate, score and place.
+    """
+    asked, best = _best_pairs(observed, observed_text, candidates, candidate_id, candidate_text,
+                              minimum, gram, observed_group, candidate_group)
+    keys = ["observed"] + (["observed_group"] if observed_group else [])
+    return _placed(asked, best, keys, top)
+
+
+def match_readings(
+    observed: DataFrame, observed_id: str, observed_text: str, candidates: DataFrame,
+    candidate_id: str, candidate_text: str | Sequence[str], minimum: float, top: int = 8,
+    gram: int = 2,
+) -> DataFrame:
+    """Up to ``top`` candidates per ``observed_id``, by all of its readings.
+
+    A pair is found when some reading reaches ``minimum`` with some alias. For each
+    found pair every reading is then scored, also below ``minimum`` and as often as
+    it was read, by its best alias, and blended by ``reading_consensus``. An id for
+    which nothing is found is returned once, with a null candidate.
+    """
+    readings = observed.select(
+        F.col(observed_id).alias("observed_id"), F.col(observed_text).alias("observed"),
+    ).groupBy("observed_id", "observed").agg(F.count("*").alias("__times"))
+    _, best = _best_pairs(observed, observed_text, candidates, candidate_id, candidate_text,
+                          minimum, gram, None, None)
+    found = readings.join(best, "observed").select("observed_id", "candidate").distinct()
+    forms = F.filter(_forms(F.col("observed")), lambda f: f != "")
+    scores = (
+        found.join(readings, "observed_id")
+        .join(_aliases(candidates, candidate_id, candidate_text, None), "candidate")
+        .withColumn("score", F.coalesce(
+            F.array_max(F.transform(forms, lambda f: similarity(f, F.col("__c")))), F.lit(0.0)))
+        .groupBy("observed_id", "observed", "candidate", "__times").agg(F.max("score").alias("score"))
+        .withColumn("__time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times"))))
+    )
+    blended = reading_consensus(
+        scores.select("observed_id", "candidate", "score"), ["observed_id", "candidate"])
+    return _placed(readings.select("observed_id").distinct(), blended, ["observed_id"], top)
 
 
 def reading_consensus(scores: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:

@@ -644,6 +644,7 @@ def q_fuzzy_match(spark, folder):
     names = table(spark, folder, "part").select("p_name").distinct()
     observed = names.select(F.translate("p_name", "oei", "031").alias("reading"))
     out = match_names(observed, "reading", names, "p_name", "p_name", 0.8, 8)
+    out = out.where("candidate IS NOT NULL")  # the SQL lists matches only
     return rounded(out.select("observed", "candidate", "score", "place"), 8, "score")
 
 

@@ -10,6 +10,7 @@ from tidemark.llm.fuzzylines import dedup_lines
 from tidemark.llm.personal import fit_tagger, personal_data
 from tidemark.llm.positional import contamination
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.spelling import spelling_variants
 from tidemark.llm.substrings import repeat_digests
 from tidemark.llm.tokenfiles import round_trip
 from tidemark.llm.toxicity import fit_toxicity, toxicity_scores
@@ -112,6 +113,11 @@ def op10_toxicity_trees(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(docs, fit_toxicity(docs, table(spark, folder, "labels")))
 
 
+def op11_permuterm(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word with its form, its root and its near words."""
+    return spelling_variants(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_weighted_sampling": (op1_weighted_sampling, None),
     "op2_bpe_tree": (op2_bpe_tree, None),
@@ -123,4 +129,5 @@ QUERIES = {
     "op8_fuzzy_lines": (op8_fuzzy_lines, None),
     "op9_simhash_covering": (op9_simhash_covering, None),
     "op10_toxicity_trees": (op10_toxicity_trees, None),
+    "op11_permuterm": (op11_permuterm, None),
 }

@@ -9,6 +9,7 @@ from tidemark.llm.bpe import token_digests
 from tidemark.llm.fuzzylines import dedup_lines
 from tidemark.llm.personal import fit_tagger, personal_data
 from tidemark.llm.positional import contamination
+from tidemark.llm.repair import damaged, repair_digests
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.spelling import spelling_variants
 from tidemark.llm.substrings import repeat_digests
@@ -118,6 +119,11 @@ def op11_permuterm(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(table(spark, folder, "documents"))
 
 
+def op13_interval_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    """Damages of every conversation, the cheapest edits and the repaired messages as a digest."""
+    return repair_digests(damaged(table(spark, folder, "conversations")), "gone")
+
+
 QUERIES = {
     "op1_weighted_sampling": (op1_weighted_sampling, None),
     "op2_bpe_tree": (op2_bpe_tree, None),
@@ -130,4 +136,5 @@ QUERIES = {
     "op9_simhash_covering": (op9_simhash_covering, None),
     "op10_toxicity_trees": (op10_toxicity_trees, None),
     "op11_permuterm": (op11_permuterm, None),
+    "op13_interval_parsing": (op13_interval_parsing, None),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import token_digests
 from tidemark.llm.fuzzylines import dedup_lines
+from tidemark.llm.language import fit_language, held_out, predict_language
 from tidemark.llm.personal import fit_tagger, personal_data
 from tidemark.llm.positional import contamination
 from tidemark.llm.repair import damaged, repair_digests
@@ -119,6 +120,13 @@ def op11_permuterm(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(table(spark, folder, "documents"))
 
 
+def op12_byte_network(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learnt from documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    net = fit_language(docs, ~held_out(F.col("doc_id")))
+    return predict_language(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op13_interval_parsing(spark: SparkSession, folder: str) -> DataFrame:
     """Damages of every conversation, the cheapest edits and the repaired messages as a digest."""
     return repair_digests(damaged(table(spark, folder, "conversations")), "gone")
@@ -136,5 +144,6 @@ QUERIES = {
     "op9_simhash_covering": (op9_simhash_covering, None),
     "op10_toxicity_trees": (op10_toxicity_trees, None),
     "op11_permuterm": (op11_permuterm, None),
+    "op12_byte_network": (op12_byte_network, None),
     "op13_interval_parsing": (op13_interval_parsing, None),
 }

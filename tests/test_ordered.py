@@ -7,9 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.calendar import calendar_windows
-from tidemark.operators.evaluation import calibration_bins, rank_correlations
+from tidemark.operators.evaluation import calibration_bins, prediction_metrics, rank_correlations
 from tidemark.operators.ordered import average_ranks, exact_quantiles, past_totals
 from tidemark.operators.temporal import lag_or_own, latest_wins
+from tidemark.session import plain_scan
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +102,59 @@ def test_windows_are_cut_by_chunk(skewed):
     plan = past_totals(skewed, ["k"], ["o", "i"], {"s": F.col("v")})._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.split("\n") if "Window [" in line and "__w_" in line]
     assert windows and all("__chunk" in line.rsplit("], [", 2)[1] for line in windows)
+
+
+ODD = [float("inf"), float("-inf"), float("nan"), None]
+
+
+def odd_rows(hot):
+    """Finite values beside all that are none; ``hot`` of them is a third of the rows."""
+    random.seed(11)
+    rows = [(f"k{i % 3}", float(i % 50), i) for i in range(200)] + [(f"k{i % 3}", v, 200 + i) for i, v in enumerate(ODD * 5)]
+    return rows + [(f"k{i % 3}", hot, 300 + i) for i in range(110)]
+
+
+@pytest.mark.parametrize("hot", ODD)
+@pytest.mark.parametrize("chunks", [None, 1, 13])
+def test_past_totals_of_values_that_are_no_numbers(spark, hot, chunks):
+    df = spark.createDataFrame(odd_rows(hot), "k string, o double, i bigint").repartition(5)
+    w = Window.partitionBy("k").orderBy("o", "i")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("i", F.coalesce(F.sum("i").over(before), F.lit(0)).alias("s"), F.lag("i").over(w).alias("p")).orderBy("i")
+    got = past_totals(df, ["k"], ["o", "i"], {"s": F.col("i")}, {"p": "i"}, chunks).select("i", "s", "p").orderBy("i")
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    assert got.count() == 330
+
+
+@pytest.mark.parametrize("hot", [v for v in ODD if v is not None])
+def test_ranks_and_quantiles_of_values_that_are_no_numbers(spark, hot):
+    df = spark.createDataFrame(odd_rows(hot), "k string, o double, i bigint")
+    known = [v for _, v, _ in odd_rows(hot) if v is not None]
+    order = sorted(known, key=lambda v: (v != v, 0.0 if v != v else v))
+    ranks = {}
+    for place, v in enumerate(order):
+        ranks.setdefault(repr(v), []).append(place + 1)
+    got = {repr(r["o"]): r["rank"] for r in average_ranks(df, [], "o", chunks=7).collect()}
+    assert got == {v: sum(places) / len(places) for v, places in ranks.items()}
+    row = exact_quantiles(df, [], "o", {"low": 0.0, "middle": 0.5}, chunks=7).first()
+    assert row["low"] == float("-inf")
+    spots = (len(order) - 1) / 2
+    assert repr(row["middle"]) == repr((order[int(spots)] + order[int(spots + 0.5)]) / 2)
+
+
+def test_metrics_of_predictions_that_are_no_numbers(spark):
+    rows = [("a", float(i), v) for i, v in enumerate([1.0, 2.0, float("inf"), float("-inf"), float("nan"), 3.0])]
+    df = spark.createDataFrame(rows, "g string, actual double, prediction double")
+    found = rank_correlations(df, ["g"]).first()
+    assert found["rows"] == 6 and found["rank_correlation"] == pytest.approx(1 - 6 * 20 / (6 * 35))  # ranks 2 3 5 1 6 4
+    assert prediction_metrics(df, ["g"]).first()["ranking_correlation"] == pytest.approx(found["rank_correlation"])
+    assert sum(r["count"] for r in calibration_bins(df, 3).collect()) == 6
+
+
+def test_plain_scans_are_not_written(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(50).selectExpr("id % 3 AS k", "id AS o", "id * 2 AS v").write.parquet(path)
+    scan = spark.read.parquet(path).filter("v > 4").select("k", "o", (F.col("v") + 1).alias("v"))
+    assert plain_scan(scan) and not plain_scan(scan.groupBy("k").count()) and not plain_scan(scan.join(scan.select("k"), "k"))
+    totals = past_totals(scan, ["k"], ["o"], {"s": F.col("v")})
+    assert {r["o"]: r["s"] for r in totals.collect()}[9] == 13 + 7

@@ -219,6 +219,18 @@ def test_scores_against_reference(spark, chunks):
         assert row["score"] == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("value", [None, float("nan"), float("inf"), float("-inf")])
+def test_rated_values_must_be_finite(spark, value):
+    """The population leaves out what is missing; a rated value may not be."""
+    odd = [None, float("nan")] * 40
+    known = spark.createDataFrame([(float(v),) for v in range(20)] + [(v,) for v in odd], "v double")
+    good = percentile_scores(spark.createDataFrame([(9.5,)], "v double"), known, [], "v").first()
+    assert good["percentile"] == 50.0 and good["reference_rows"] == 20
+    asked = spark.createDataFrame([(9.5,), (value,)], "v double")
+    with pytest.raises(Exception, match="missing or not finite"):
+        percentile_scores(asked, known, [], "v").collect()
+
+
 def test_lineup_roles_sum_to_targets(spark):
     rows = [(i, 7, "GKP" if i < 2 else "DEF", 0.5 + i / 40, 0.2 + i / 30) for i in range(16)]
     schema = "player_id int, club_id int, position string, app double, start double"

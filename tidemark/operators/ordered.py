@@ -8,12 +8,14 @@ operators here cut the order axis into chunks first, run the window inside
    bounds, a short list. A chunk holds about ``rows / chunks`` rows in all, so a
    key with a third of all rows is spread over a third of the chunks.
 2. A value so frequent that it fills a chunk alone is given its own chunk, and
-   is cut again by the next order column.
+   is cut again by the next order column. NULL, NaN and infinite values are no
+   bounds; each of these four has a chunk of its own, where Spark's order puts it.
 3. Chunk totals are combined map-side; a key has at most ``chunks`` of them.
 
-There is one path for all sizes. The rows to be ordered are materialised once and
-counted; a chunk holds about ``CHUNK_ROWS`` rows, and there are at least as many
-chunks as shuffle partitions, so that small inputs are cut like large ones.
+There is one path for all sizes. The rows to be ordered are materialised once, if
+they are not a plain scan of a table, and counted; a chunk holds about ``CHUNK_ROWS``
+rows, and there are at least as many chunks as shuffle partitions, so that small
+inputs are cut like large ones.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, plain_scan
 
 # Rows that one task orders at a time.
 CHUNK_ROWS = 1_000_000
@@ -64,42 +66,48 @@ def _as_double(df: DataFrame, name: str) -> Column:
     raise TypeError(f"order column {name} must be a number, date or timestamp")
 
 
-def _bounds(df: DataFrame, axis: Column, chunks: int) -> tuple[list[float], list[float]]:
-    """Increasing chunk starts, and the values that get a chunk of their own."""
+def _bounds(df: DataFrame, axis: Column, chunks: int) -> tuple[list[float], list[float], bool]:
+    """Increasing chunk starts, the values that get a chunk of their own, and
+    whether there are values that are no finite number."""
     shares = [i / chunks for i in range(1, chunks)]
-    row = df.agg(F.percentile_approx(axis, shares, chunks * 20).alias("q")).head()
+    finite = F.when(F.abs(axis) < math.inf, axis)
+    row = df.agg(F.percentile_approx(finite, shares, chunks * 20).alias("q"),
+                 F.count_if(finite.isNull()).alias("odd")).head()
     values = list(row["q"] or [])
     heavy = sorted({v for v, w in zip(values, values[1:]) if v == w and abs(v) < 2**53})
     starts = sorted(set(values) | {math.nextafter(v, math.inf) for v in heavy})
-    return starts, heavy
+    return starts, heavy, row["odd"] > 0
 
 
 def _bucket(df: DataFrame, axis: Column, starts: list[float], name: str) -> DataFrame:
-    if not starts:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    splits = [-math.inf, *starts, math.inf]
-    cut = Bucketizer(splits=splits, inputCol="__axis", outputCol="__bucket",
-                     handleInvalid="keep")
-    return (
-        cut.transform(df.withColumn("__axis", axis))
-        .withColumn(name, F.col("__bucket").cast("bigint"))
-        .drop("__axis", "__bucket")
+    """The number of each row's chunk: NULL, -inf, the chunks of numbers, +inf, NaN."""
+    finite = F.when(F.abs(axis) < math.inf, axis)
+    if starts:
+        cut = Bucketizer(splits=[-math.inf, *starts, math.inf], inputCol="__axis", outputCol="__bucket")
+        df = cut.transform(df.withColumn("__axis", F.coalesce(finite, F.lit(0.0)))).drop("__axis")
+    else:
+        df = df.withColumn("__bucket", F.lit(0))
+    last = len(starts) + 2
+    number = (
+        F.when(axis.isNull(), 0).when(axis == -math.inf, 1).when(F.isnan(axis), last + 2)
+        .when(axis == math.inf, last + 1).otherwise(F.col("__bucket") + 2)
     )
+    return df.withColumn(name, number.cast("bigint")).drop("__bucket")
 
 
 def add_chunk(df: DataFrame, order: Sequence[str], chunks: int, name: str = "__chunk") -> DataFrame:
     """Number rows by chunk so that a lower chunk sorts wholly before a higher one."""
     first = _as_double(df, order[0])
-    starts, heavy = _bounds(df, first, chunks)
+    starts, heavy, odd = _bounds(df, first, chunks)
     out = _bucket(df, first, starts, name)
-    if heavy and len(order) > 1:
-        inside = first.isin(heavy)
+    if (heavy or odd) and len(order) > 1:
+        inside = first.isin(heavy) | ~F.coalesce(F.abs(first) < math.inf, F.lit(False))
         second = _as_double(df, order[1])
-        cuts, _ = _bounds(df.filter(inside), second, chunks)
+        cuts, _, _ = _bounds(df.filter(inside), second, chunks)
         out = _bucket(out, second, cuts, "__inner")
         out = out.withColumn(
             name,
-            F.col(name) * F.lit(len(cuts) + 1) + F.when(inside, F.col("__inner")).otherwise(0),
+            F.col(name) * F.lit(len(cuts) + 5) + F.when(inside, F.col("__inner")).otherwise(0),
         ).drop("__inner")
     return out
 
@@ -128,12 +136,13 @@ def past_totals(
     ``sums`` maps an output name to the number to add up (NULL counts as 0; the
     first row of a key gets 0). ``last`` maps an output name to a column whose
     previous value is wanted. ``order`` must be unique within a key. The extra
-    column ``past_rows`` counts the earlier rows. The input is materialised first:
-    bounds, windows and totals all read it.
+    column ``past_rows`` counts the earlier rows. An input that is more than a plain
+    scan is materialised first: bounds, windows and totals all read it.
     """
     last = dict(last or {})
     columns = df.columns
-    df = checkpointed(df)
+    if not plain_scan(df):
+        df = checkpointed(df)
     chunks = chunk_count(df) if chunks is None else chunks
     numbers = {"past_rows": F.lit(1).cast("bigint"), **sums}
     source = df.withColumns({f"__in_{n}": F.coalesce(c, F.lit(0)) for n, c in numbers.items()})
@@ -174,16 +183,19 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def value_positions(
-    df: DataFrame, groups: Sequence[str], value: str, chunks: int | None = None
+    df: DataFrame, groups: Sequence[str], value: str, chunks: int | None = None,
+    rows: str | None = None,
 ) -> DataFrame:
     """Distinct values per group with how often they occur and how many are below.
 
     Ties are folded by a map-side count first, so a value held by a third of
-    the rows costs one row per task.
+    the rows costs one row per task. ``rows`` names a column that tells how many
+    rows a row stands for.
     """
+    times = F.sum(rows) if rows else F.count("*")
     counted = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(*groups, value).agg(F.count("*").alias("ties"))
+        .groupBy(*groups, value).agg(times.alias("ties"))
     )
     placed = past_totals(counted, groups, [value], {"below": F.col("ties")}, chunks=chunks)
     return placed.drop("past_rows")
@@ -191,10 +203,10 @@ def value_positions(
 
 def average_ranks(
     df: DataFrame, groups: Sequence[str], value: str, name: str = "rank",
-    chunks: int | None = None,
+    chunks: int | None = None, rows: str | None = None,
 ) -> DataFrame:
     """Rank of each distinct value, ties sharing the mean of their places."""
-    placed = value_positions(df, groups, value, chunks)
+    placed = value_positions(df, groups, value, chunks, rows)
     rank = F.col("below") + (F.col("ties") + 1) / F.lit(2.0)
     return placed.select(*groups, value, rank.alias(name))
 
@@ -231,6 +243,8 @@ def exact_quantiles(
     found = sized.groupBy(*groups).agg(*picks)
     return found.select(
         *groups,
-        *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}"))
+        # An infinite value less itself would be NaN.
+        *[F.when((F.col(f"__lo_{n}") == F.col(f"__hi_{n}")) | (F.col(f"__f_{n}") == 0), F.col(f"__lo_{n}"))
+          .otherwise(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}"))
           .alias(n) for n in probabilities],
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -29,9 +30,13 @@ def percentile_scores(
 
     clamped to 0..99.9. Reference and asked values are folded to distinct values
     with counts; running totals over those give ``less`` for any number of asked
-    values in one pass. Values without a reference are dropped.
+    values in one pass. A reference leaves out NULL and NaN; an asked value that is
+    missing or not finite fails, and so does a component without a reference.
     """
-    asked = values.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    number = F.col(value).cast("double")
+    finite = F.coalesce(F.abs(number) < math.inf, F.lit(False))
+    asked = values.withColumn(value, F.when(finite, F.col(value)).otherwise(
+        F.raise_error(F.lit("a rated value is missing or not finite")).cast(values.schema[value].dataType)))
     known = reference.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     folded = known.select(*component, F.col(value).cast("double").alias("__v"),
                           F.lit(1).cast("bigint").alias("__r")).unionByName(
@@ -99,16 +104,20 @@ def component_ratings(
 def distribution_summary(
     df: DataFrame, columns: Mapping[str, Mapping[str, float]], chunks: int | None = None
 ) -> DataFrame:
-    """Exact quantiles of several columns, one row per column and quantile."""
-    parts = []
-    for column, shares in columns.items():
-        wide = exact_quantiles(df, [], column, shares, chunks)
-        parts.append(wide.unpivot([], list(shares), "quantile", "value")
-                     .withColumn("column", F.lit(column)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("column", "quantile", "value")
+    """Exact quantiles of several columns, one row per column and quantile.
+
+    All columns are ranked in one pass over (column, value) rows.
+    """
+    tall = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], list(columns), "column", "value")
+    every = sorted({share for shares in columns.values() for share in shares.values()})
+    names = {share: f"__q{i}" for i, share in enumerate(every)}
+    wide = exact_quantiles(tall, ["column"], "value", {n: s for s, n in names.items()}, chunks)
+    wanted = F.array(*[
+        F.struct(F.lit(c).alias("c"), F.lit(q).alias("quantile"), F.col(names[share]).alias("value"))
+        for c, shares in columns.items() for q, share in shares.items()])
+    return wide.select("column", F.explode(F.filter(wanted, lambda w: w["c"] == F.col("column"))).alias("__w")).select(
+        "column", "__w.quantile", "__w.value")
 
 
 def inclusion_rates(members: DataFrame, squad_id: str, member: str) -> DataFrame:

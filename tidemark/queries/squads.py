@@ -644,7 +644,6 @@ def q_fuzzy_match(spark, folder):
     names = table(spark, folder, "part").select("p_name").distinct()
     observed = names.select(F.translate("p_name", "oei", "031").alias("reading"))
     out = match_names(observed, "reading", names, "p_name", "p_name", 0.8, 8)
-    out = out.where("candidate IS NOT NULL")  # the SQL lists matches only
     return rounded(out.select("observed", "candidate", "score", "place"), 8, "score")
 
 
@@ -661,7 +660,8 @@ s AS (SELECT observed, candidate, greatest(1 - levenshtein(form, name) / greates
     ELSE 0 END) AS v FROM f, c),
 b AS (SELECT observed, candidate, max(v) AS v FROM s GROUP BY 1, 2 HAVING max(v) >= 0.8 - 1e-12),
 r AS (SELECT *, row_number() OVER (PARTITION BY observed ORDER BY v DESC, candidate) AS place FROM b)
-SELECT observed, candidate, round(v, 8) AS score, place FROM r WHERE place <= 8"""
+SELECT o.observed, candidate, round(v, 8) AS score, place FROM o LEFT JOIN r
+  ON o.observed IS NOT DISTINCT FROM r.observed AND place <= 8"""
 
 
 def _brand_quotas():

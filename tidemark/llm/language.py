@@ -57,15 +57,16 @@ def training_windows(docs: DataFrame, learn: Column | None = None, per_language:
     ship(docs.sparkSession)
     labelled = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     marked = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).withColumn("mark", F.xxhash64("text"))
-    sizes = marked.groupBy("lang").agg(F.approx_count_distinct("mark").alias("different"))
-    languages = max(1, sizes.count())
-    wanted = max(min(per_language, LEAST_TEXTS), min(per_language, ALL_TEXTS // languages))
+    # One row a language, as many as the network has outputs.
+    sizes = marked.groupBy("lang").agg(F.approx_count_distinct("mark").alias("different")).collect()
+    wanted = max(min(per_language, LEAST_TEXTS), min(per_language, ALL_TEXTS // max(1, len(sizes))))
+    different = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(r["different"]))] or [F.lit(""), F.lit(0.0)])
     spot = F.pmod(F.xxhash64("mark"), F.lit(FINE))
-    thin = marked.join(sizes, "lang").where(spot * F.col("different") < F.lit(2.0 * FINE * wanted)).select("lang", "mark", "text")
+    thin = marked.where(spot * different[F.col("lang")] < F.lit(2.0 * FINE * wanted)).select("lang", "mark", "text")
     cut = thin.mapInArrow(lambda b: _cut(b, WINDOWS_PER_TEXT), "lang string, mark bigint, cuts array<binary>")
-    different = cut.groupBy("lang", "mark").agg(F.first("cuts").alias("cuts"))
+    once = cut.groupBy("lang", "mark").agg(F.first("cuts").alias("cuts"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
-    return different.withColumn("place", place).where(F.col("place") <= wanted).drop("place")
+    return once.withColumn("place", place).where(F.col("place") <= wanted).drop("place")
 
 
 def fit_language(docs: DataFrame, learn: Column | None = None, per_language: int = TEXTS_PER_LANGUAGE) -> ByteNetwork | None:

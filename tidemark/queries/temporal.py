@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import asof_join
 from tidemark.operators.calendar import calendar_windows, label_name
 from tidemark.operators.joins import lookup, newest_identity, rows_of, unmapped
 from tidemark.operators.sets import overlapping_keys, union_sources
@@ -434,6 +435,53 @@ OVERLAPPING_KEYS = """
 SELECT o_custkey, o_orderpriority, count(*) AS rows, count(DISTINCT o_orderstatus) AS sources
 FROM orders GROUP BY 1, 2 HAVING count(*) > 1"""
 
+def _order_moments(spark, folder):
+    """Orders as probes: a user by customer, noon of one of thirty days by order date."""
+    return table(spark, folder, "orders").select(
+        "o_orderkey", (F.col("o_custkey") % 100).alias("user_id"),
+        (F.pmod(day("o_orderdate"), F.lit(30)) * 86400 + ASOF_START + 43200).alias("at"))
+
+
+def q_asof_orders(spark, folder):
+    """Every order with its user's newest event at or before its moment, ties by id."""
+    events = table(spark, folder, "events").select(
+        "user_id", (F.floor(seconds("ts") / 3600) * 3600).alias("event_at"), "event_id", "event_type", "value")
+    return asof_join(_order_moments(spark, folder), events, ["user_id"], "at", "event_at",
+                     ["event_id", "event_type", "value"], ["event_id"])
+
+
+ASOF_START = 1704067200  # 2024-01-01
+ASOF_ORDERS = f"""
+WITH o AS (SELECT o_orderkey, o_custkey % 100 AS user_id,
+  ({DAY.format('o_orderdate')} % 30) * 86400 + {ASOF_START} + 43200 AS at FROM orders),
+e AS (SELECT user_id, event_at, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type,
+  arg_max(value, event_id) AS value FROM (SELECT *, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS event_at
+  FROM events) GROUP BY 1, 2)
+SELECT o.o_orderkey, o.user_id, o.at, e.event_at, e.event_id, e.event_type, e.value
+FROM o ASOF LEFT JOIN e ON o.user_id = e.user_id AND o.at >= e.event_at"""
+
+
+def q_asof_previous_purchase(spark, folder):
+    """Every event with its user's last purchase strictly before it, within three days."""
+    events = table(spark, folder, "events").select(
+        "event_id", "user_id", "event_type", (F.floor(seconds("ts") / 3600)).alias("hour"))
+    bought = table(spark, folder, "events").filter("event_type = 'purchase'").select(
+        "user_id", F.floor(seconds("ts") / 3600).alias("bought"), F.col("event_id").alias("purchase_id"),
+        F.col("value").alias("paid"))
+    return asof_join(events, bought, ["user_id"], "hour", "bought", ["purchase_id", "paid"], ["purchase_id"],
+                     strict=True, oldest=F.col("hour") - 72)
+
+
+ASOF_PREVIOUS_PURCHASE = """
+WITH e AS (SELECT event_id, user_id, event_type, value, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour FROM events),
+b AS (SELECT user_id, hour AS bought, max(event_id) AS purchase_id, arg_max(value, event_id) AS paid
+  FROM e WHERE event_type = 'purchase' GROUP BY 1, 2)
+SELECT e.event_id, e.user_id, e.event_type, e.hour, CASE WHEN e.hour - b.bought <= 72 THEN b.bought END AS bought,
+  CASE WHEN e.hour - b.bought <= 72 THEN b.purchase_id END AS purchase_id,
+  CASE WHEN e.hour - b.bought <= 72 THEN b.paid END AS paid
+FROM e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.hour > b.bought"""
+
+
 QUERIES = {
     "latest_wins": (q_latest_wins, LATEST_WINS),
     "period_rollup": (q_period_rollup, PERIOD_ROLLUP),
@@ -452,6 +500,8 @@ QUERIES = {
     "dimension_lookup": (q_dimension_lookup, DIMENSION_LOOKUP),
     "unmapped_keys": (q_unmapped_keys, UNMAPPED_KEYS),
     "newest_snapshot": (q_newest_snapshot, NEWEST_SNAPSHOT),
+    "asof_orders": (q_asof_orders, ASOF_ORDERS),
+    "asof_previous_purchase": (q_asof_previous_purchase, ASOF_PREVIOUS_PURCHASE),
     "union_sources": (q_union_sources, UNION_SOURCES),
     "overlapping_keys": (q_overlapping_keys, OVERLAPPING_KEYS),
 }

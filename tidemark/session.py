@@ -61,8 +61,8 @@ def checkpointed(df):
 
 
 def plain_scan(df) -> bool:
-    """Whether a frame only filters and projects files: read anew it costs one scan
-    of the columns asked for, less than writing it."""
+    """Whether a frame only filters, projects and unites files and checkpoints: read
+    anew it costs one scan of the columns asked for, less than writing it."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     nodes = [line.lstrip(" :+-!").split(" ", 1)[0] for line in plan.splitlines() if line.strip()]
-    return nodes[-1] == "Relation" and all(n in ("Project", "Filter") for n in nodes[:-1])
+    return all(n in ("Project", "Filter", "Union", "Relation", "LogicalRDD") for n in nodes)

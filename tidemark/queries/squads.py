@@ -18,6 +18,7 @@ from tidemark.operators.managers import (
     selection_rates,
     squad_costs,
 )
+from tidemark.operators.names import rank_names
 from tidemark.operators.ratings import (
     component_ratings,
     inclusion_calibration,
@@ -664,6 +665,40 @@ SELECT o.observed, candidate, round(v, 8) AS score, place FROM o LEFT JOIN r
   ON o.observed IS NOT DISTINCT FROM r.observed AND place <= 8"""
 
 
+def q_fuzzy_rank(spark, folder):
+    """The eight best part names of any text, however badly it fits; some by the type of the part."""
+    parts = table(spark, folder, "part")
+    names = parts.select(F.concat_ws("-", "p_name", "p_type").alias("id"), "p_name", F.col("p_type").alias("kind")).distinct()
+    text = F.explode(F.array(
+        F.translate("p_name", "oei", "031"), F.reverse("p_name"), F.substring("p_name", 1, 3),
+        F.substring("p_name", 3, 4), F.col("p_type"), F.lit("##"), F.lit("qq 7")))
+    observed = parts.select(text.alias("reading"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("only")).union(
+        table(spark, folder, "nation").select("n_name", F.lit(None).cast("string")))
+    out = rank_names(observed, "reading", names, "id", "p_name", 8, "only", "kind")
+    return rounded(out, 8, "score")
+
+
+FUZZY_RANK = """
+WITH n AS (SELECT DISTINCT p_name || '-' || p_type AS candidate, p_name, p_type AS kind FROM part),
+o AS (SELECT DISTINCT * FROM (SELECT unnest([translate(p_name, 'oei', '031'), reverse(p_name),
+    substr(p_name, 1, 3), substr(p_name, 3, 4), p_type, '##', 'qq 7']) AS observed,
+    CASE WHEN p_size % 2 = 0 THEN p_type END AS observed_group FROM part
+  UNION ALL SELECT n_name, NULL FROM nation)),
+f AS (SELECT observed, regexp_replace(lower(observed), '[^a-z0-9]', '', 'g') AS form FROM (SELECT DISTINCT observed FROM o)
+  UNION SELECT observed, w FROM (SELECT observed, unnest(regexp_split_to_array(lower(observed), '[^a-z0-9]+'))
+  AS w FROM (SELECT DISTINCT observed FROM o)) WHERE length(w) > 2),
+c AS (SELECT DISTINCT p_name, regexp_replace(p_name, '[^a-z0-9]', '', 'g') AS name FROM n),
+s AS (SELECT observed, p_name, max(CASE WHEN form = '' THEN 0 ELSE greatest(1 - levenshtein(form, name)
+    / greatest(length(form), length(name))::DOUBLE, CASE WHEN contains(form, name) OR contains(name, form)
+    THEN 0.75::DOUBLE + 0.25::DOUBLE * least(length(form), length(name)) / greatest(length(form), length(name))
+    ELSE 0 END) END) AS v FROM f, c GROUP BY 1, 2),
+r AS (SELECT o.observed, o.observed_group, n.candidate, s.v, row_number() OVER (
+    PARTITION BY o.observed, o.observed_group ORDER BY s.v DESC, n.candidate) AS place
+  FROM o JOIN s USING (observed) JOIN n USING (p_name)
+  WHERE o.observed_group IS NULL OR o.observed_group = n.kind)
+SELECT observed, observed_group, candidate, round(v, 8) AS score, place FROM r WHERE place <= 8"""
+
+
 def _brand_quotas():
     return {f"Brand#{i}": 1 + i % 3 for i in range(1, 26)}
 
@@ -738,6 +773,7 @@ QUERIES = {
     "history_readiness": (q_history_readiness, HISTORY_READINESS),
     "coercions": (q_coercions, COERCIONS),
     "fuzzy_match_topk": (q_fuzzy_match, FUZZY_MATCH),
+    "fuzzy_rank_all": (q_fuzzy_rank, FUZZY_RANK),
     "weighted_draws": (q_weighted_draws, WEIGHTED_DRAWS),
     "conditioned_draws": (q_conditioned_draws, None),
     "cluster_sample": (q_cluster_sample, None),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.ml.gram import fold_predictions, fold_ridges
 from tidemark.operators.evaluation import (
     brier_scores,
     calibration_bins,
@@ -11,6 +12,7 @@ from tidemark.operators.evaluation import (
     rank_correlations,
     rolling_origin_folds,
     spaced_folds,
+    trained_on,
 )
 from tidemark.operators.guards import duplicate_keys, split_by_deadline
 from tidemark.operators.managers import cost_summary
@@ -280,6 +282,65 @@ LATE_ROWS = """
 SELECT l_orderkey, count(*) AS late_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 WHERE l_shipdate > o_orderdate + INTERVAL 60 DAY GROUP BY 1"""
 
+RIDGE_PENALTY = 10.0
+
+
+def monthly_lines(spark, folder):
+    """Line items by month shipped: price to be told from quantity and discount."""
+    return table(spark, folder, "lineitem").select(
+        F.year("l_shipdate").alias("season"), F.month("l_shipdate").cast("bigint").alias("period"),
+        (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("stamp"),
+        F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_discount")).alias("discount"))
+
+
+def q_fold_ridge(spark, folder):
+    """Ridge of price on quantity and a discount that is often missing, for all folds in one pass."""
+    lines = monthly_lines(spark, folder)
+    chosen = spaced_folds(rolling_origin_folds(lines, "season", "period", "stamp", FOLD_HORIZON, MIN_PERIODS), FOLDS)
+    folds = [r.asDict() for r in chosen.orderBy("fold").collect()]
+    trains = {f["fold"]: trained_on(f, "season", "period", "stamp", FOLD_HORIZON) for f in folds}
+    models = fold_ridges(lines, ["quantity", "discount"], [], "price", trains, RIDGE_PENALTY)
+    fitted = spark.createDataFrame(
+        [(m.fold, m.rows, m.slopes["quantity"], m.slopes["discount"], m.absent["discount"], m.intercept) for m in models],
+        "fold bigint, train_rows bigint, per_quantity double, per_discount double, discount_missing double, intercept double")
+    held = lines.join(F.broadcast(chosen.select("season", "period", "fold")), ["season", "period"])
+    errors = fold_predictions(held, models).groupBy("fold").agg(
+        F.count("*").alias("rows"), F.avg(F.abs(F.col("prediction") - F.col("price"))).alias("mae"))
+    return rounded(fitted.join(errors, "fold"), 3, "per_quantity", "per_discount", "discount_missing", "intercept", "mae")
+
+
+FOLD_RIDGE = f"""
+WITH l AS (SELECT year(l_shipdate) AS season, month(l_shipdate) AS period,
+  year(l_shipdate) * 12 + month(l_shipdate) AS stamp, l_extendedprice AS y, l_quantity AS q,
+  CASE WHEN l_linenumber <> 3 THEN l_discount END AS d FROM lineitem),
+p AS (SELECT season, period, stamp, count(*) AS rows FROM l GROUP BY ALL),
+c AS (SELECT v.season, v.period, v.stamp, count(t.stamp) AS n FROM p v LEFT JOIN p t
+  ON t.stamp < v.stamp AND (t.season <> v.season OR t.period + {FOLD_HORIZON} <= v.period)
+  GROUP BY ALL HAVING count(t.stamp) >= {MIN_PERIODS}),
+f AS (SELECT *, row_number() OVER (ORDER BY stamp, season, period) AS fold, count(*) OVER () AS folds FROM c),
+k AS (SELECT season, period, stamp, fold FROM f WHERE folds <= {FOLDS} OR fold - 1 IN (
+  SELECT CAST(floor(i * (folds - 1) / {FOLDS - 1}.0::DOUBLE) AS BIGINT) FROM range({FOLDS}) AS r(i))),
+t AS (SELECT k.fold, l.* FROM k JOIN l ON l.stamp < k.stamp AND (l.season <> k.season
+  OR l.period + {FOLD_HORIZON} <= k.period)),
+m AS (SELECT fold, median(d) AS md FROM t GROUP BY 1),
+x AS (SELECT fold, y, q AS a, coalesce(d, md) AS b, CASE WHEN d IS NULL THEN 1.0::DOUBLE ELSE 0 END AS z FROM t JOIN m USING (fold)),
+s AS (SELECT fold, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(z) AS mz, stddev_pop(a) AS sa,
+  stddev_pop(b) AS sb, stddev_pop(z) AS sz, count(*) * corr(a, b) AS ab, count(*) * corr(a, z) AS az,
+  count(*) * corr(b, z) AS bz, count(*) * covar_pop(a, y) / stddev_pop(a) AS ay,
+  count(*) * covar_pop(b, y) / stddev_pop(b) AS by_, count(*) * covar_pop(z, y) / stddev_pop(z) AS zy, n + {RIDGE_PENALTY} AS g
+  FROM x GROUP BY 1),
+w AS (SELECT *, g * (g * g - bz * bz) - ab * (ab * g - bz * az) + az * (ab * bz - g * az) AS det FROM s),
+u AS (SELECT *, (ay * (g * g - bz * bz) - ab * (by_ * g - bz * zy) + az * (by_ * bz - g * zy)) / det / sa AS wa,
+  (g * (by_ * g - zy * bz) - ay * (ab * g - bz * az) + az * (ab * zy - by_ * az)) / det / sb AS wb,
+  (g * (g * zy - bz * by_) - ab * (ab * zy - by_ * az) + ay * (ab * bz - g * az)) / det / sz AS wz FROM w),
+r AS (SELECT u.fold, n, wa, wb, wb * md + wz AS absent, my - wa * ma - wb * mb - wz * mz AS i FROM u JOIN m USING (fold)),
+e AS (SELECT r.fold, count(*) AS rows, avg(abs(i + wa * q + coalesce(wb * d, absent) - y)) AS mae
+  FROM r JOIN k USING (fold) JOIN l USING (season, period) GROUP BY 1)
+SELECT r.fold, n AS train_rows, round(wa, 3) AS per_quantity, round(wb, 3) AS per_discount,
+  round(absent, 3) AS discount_missing, round(i, 3) AS intercept, rows, round(mae, 3) AS mae FROM r JOIN e USING (fold)"""
+
+
 QUERIES = {
     "prediction_metrics": (q_prediction_metrics, PREDICTION_METRICS),
     "rank_correlation": (q_rank_correlation, RANK_CORRELATION),
@@ -291,6 +352,7 @@ QUERIES = {
     "feature_coverage": (q_feature_coverage, FEATURE_COVERAGE),
     "season_audit": (q_season_audit, SEASON_AUDIT),
     "training_coverage": (q_training_coverage, TRAINING_COVERAGE),
+    "fold_ridge": (q_fold_ridge, FOLD_RIDGE),
     "distribution_summary": (q_distribution_summary, DISTRIBUTION_SUMMARY),
     "cost_summary": (q_cost_summary, COST_SUMMARY),
     "duplicate_keys": (q_duplicate_keys, DUPLICATE_KEYS),

@@ -198,21 +198,30 @@ SELECT 'event_type', round(avg(CASE WHEN event_type IS NOT NULL THEN 1 ELSE 0 EN
 
 def q_season_audit(spark, folder):
     events = table(spark, folder, "events").select(
-        "event_type", "user_id", F.floor(seconds("ts") / 600).alias("slot"))
+        "event_type", "user_id", F.floor(seconds("ts") / 600).alias("slot"), "value",
+        F.when(F.col("value") > 2, F.get_json_object("props", "$.k")).alias("k"))
     # The schedule of a type is every slot of its span in which anything happened.
     spans = events.groupBy("event_type").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
     planned = spans.select("event_type", F.explode(F.sequence("a", "b")).alias("slot")).join(
         events.select("slot").distinct(), "slot").select("slot", "event_type")
-    out = season_audit(events, ["event_type"], "slot", "user_id", ["user_id", "slot"], planned)
-    return out.select(
+    clubs = events.select("event_type", (F.col("user_id") % 20).alias("club"))
+    out = season_audit(events, ["event_type"], "slot", "user_id", ["user_id", "slot"], planned,
+                       distinct={"different_values": "value", "different_keys": "k"}, covered=["value", "k", "absent"],
+                       tables={"fixtures": (planned, "slot"), "clubs": (clubs, "club")})
+    out = out.select(
         "event_type", "rows", "entities", "periods", "first_period", "last_period",
-        "repeated_rows", F.size("missing_periods").alias("missing"),
-        F.size("blank_periods").alias("blank"))
+        "repeated_rows", F.size("missing_periods").cast("bigint").alias("missing"),
+        F.size("blank_periods").cast("bigint").alias("blank"), "different_values", "different_keys", "fixtures", "clubs",
+        "column_count", *[F.col("coverage")[c].alias(f"{c}_share") for c in ("value", "k", "absent")])
+    return rounded(out, 8, "value_share", "k_share")
 
 
 SEASON_AUDIT = f"""
-WITH e AS (SELECT event_type, user_id, {SLOT.format('ts')} AS slot FROM events),
+WITH e AS (SELECT event_type, user_id, {SLOT.format('ts')} AS slot, value,
+  CASE WHEN value > 2 THEN json_extract_string(props, '$.k') END AS k FROM events),
 b AS (SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS entities,
+  count(DISTINCT value) AS different_values, count(DISTINCT k) AS different_keys, count(DISTINCT user_id % 20) AS clubs,
+  round(count(value) / count(*), 8) AS value_share, round(count(k) / count(*), 8) AS k_share,
   count(DISTINCT slot) AS periods, min(slot) AS first_period, max(slot) AS last_period
   FROM e GROUP BY 1),
 k AS (SELECT event_type, sum(n - 1) AS r FROM (SELECT event_type, user_id, slot, count(*) AS n
@@ -220,7 +229,9 @@ k AS (SELECT event_type, sum(n - 1) AS r FROM (SELECT event_type, user_id, slot,
 SELECT event_type, rows, entities, periods, first_period, last_period,
   CAST(r AS BIGINT) AS repeated_rows, last_period - first_period + 1 - periods AS missing,
   last_period - first_period + 1 - (SELECT count(DISTINCT slot) FROM e
-    WHERE slot BETWEEN first_period AND last_period) AS blank
+    WHERE slot BETWEEN first_period AND last_period) AS blank, different_values, different_keys,
+  (SELECT count(DISTINCT slot) FROM e WHERE slot BETWEEN first_period AND last_period) AS fixtures, clubs,
+  5 AS column_count, value_share, k_share, NULL::DOUBLE AS absent_share
 FROM b JOIN k USING (event_type)"""
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.coerce import lenient_long, strict_boolean
 from tidemark.functions.numeric import clip, normal_quantile_sql, ticks
+from tidemark.operators.conditioned import conditioned_inclusion
 from tidemark.operators.evaluation import leaderboard, prediction_metrics
 from tidemark.operators.joins import match_names
 from tidemark.operators.managers import (
@@ -722,6 +723,40 @@ def q_conditioned_draws(spark, folder):
                            F.col("p_retailprice") / 1000.0, _brand_quotas(), 200, 2026)
 
 
+INCLUSION_BAND = (60, 80)
+
+
+def _sized_parts(spark, folder):
+    """Parts in two strata by brand, with their size for a cost and their price for a weight."""
+    return table(spark, folder, "part").select(
+        "p_partkey", F.when(F.substring("p_brand", 7, 3).cast("int") % 2 == 1, "odd").otherwise("even").alias("kind"),
+        "p_size", (F.col("p_retailprice") / 1000.0).alias("weight"))
+
+
+def q_conditioned_inclusion(spark, folder):
+    """How likely each part is among one odd and two even ones whose sizes sum to the band."""
+    out = conditioned_inclusion(_sized_parts(spark, folder), "kind", "p_partkey", F.col("weight"), F.col("p_size"),
+                                {"odd": 1, "even": 2}, *INCLUSION_BAND)
+    return rounded(out, 10, "probability")
+
+
+CONDITIONED_INCLUSION = f"""
+WITH p AS (SELECT p_partkey, p_size AS c, p_retailprice / 1000.0::DOUBLE AS w,
+  CASE WHEN CAST(substr(p_brand, 7, 3) AS INT) % 2 = 1 THEN 'odd' ELSE 'even' END AS kind FROM part),
+e AS (SELECT kind, c, sum(w) AS p1, sum(w * w) AS p2 FROM p GROUP BY ALL),
+o AS (SELECT c, p1 FROM e WHERE kind = 'odd'), v AS (SELECT c, p1, p2 FROM e WHERE kind = 'even'),
+pairs AS (SELECT a.c + b.c AS c, sum(CASE WHEN a.c < b.c THEN a.p1 * b.p1 ELSE (a.p1 * a.p1 - a.p2) / 2 END) AS s
+  FROM v a JOIN v b ON a.c <= b.c GROUP BY 1),
+z AS (SELECT sum(o.p1 * pairs.s) AS z FROM o JOIN pairs ON o.c + pairs.c BETWEEN {INCLUSION_BAND[0]} AND {INCLUSION_BAND[1]}),
+one AS (SELECT o.c, sum(pairs.s) AS s FROM o JOIN pairs ON o.c + pairs.c BETWEEN {INCLUSION_BAND[0]} AND {INCLUSION_BAND[1]} GROUP BY 1),
+two AS (SELECT v.c, u.c AS d, any_value(u.p1) AS p1, sum(o.p1) AS s FROM v JOIN v u ON true
+  JOIN o ON o.c + v.c + u.c BETWEEN {INCLUSION_BAND[0]} AND {INCLUSION_BAND[1]} GROUP BY 1, 2)
+SELECT p_partkey, kind, round(w * coalesce(s, 0) / z, 10) AS probability FROM p LEFT JOIN one USING (c), z WHERE kind = 'odd'
+UNION ALL
+SELECT p_partkey, any_value(kind), round(any_value(w) * coalesce(sum((two.p1 - CASE WHEN d = p.c THEN w ELSE 0 END) * s), 0)
+  / any_value(z), 10) FROM p LEFT JOIN two ON two.c = p.c, z WHERE kind = 'even' GROUP BY 1"""
+
+
 def q_cluster_sample(spark, folder):
     """Customers first, then their orders."""
     return cluster_sample(table(spark, folder, "orders"), "o_custkey", "o_orderkey", 100, 5, 2026)
@@ -775,6 +810,7 @@ QUERIES = {
     "fuzzy_match_topk": (q_fuzzy_match, FUZZY_MATCH),
     "fuzzy_rank_all": (q_fuzzy_rank, FUZZY_RANK),
     "weighted_draws": (q_weighted_draws, WEIGHTED_DRAWS),
+    "conditioned_inclusion": (q_conditioned_inclusion, CONDITIONED_INCLUSION),
     "conditioned_draws": (q_conditioned_draws, None),
     "cluster_sample": (q_cluster_sample, None),
     "leaderboard": (q_leaderboard, LEADERBOARD),

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import ticks
+from tidemark.operators.conditioned import conditioned_subsets
 from tidemark.operators.guards import ContractError
 from tidemark.operators.joins import inner_with_suffix
 from tidemark.operators.rules import SquadRules
-from tidemark.operators.sampling import product_subsets, successive_draws
+from tidemark.operators.sampling import successive_draws
 from tidemark.operators.squads import adjust_for_availability, best_lineup, legal_draws, project
 from tidemark.session import checkpointed
 
@@ -63,8 +66,11 @@ def reference_population(
     attempts = max(2048, size * 8)
     for _ in range(MAX_ROUNDS):
         if strategy == "human_like":
-            drawn = product_subsets(pool, "position_id", "player_id", draw_weight(strategy),
-                                    quotas, attempts, seed).withColumnRenamed("subset", "squad_id")
+            # Quotas and cost hold by construction; only the clubs' limit rejects.
+            drawn = conditioned_subsets(
+                pool, "position_id", "player_id", draw_weight(strategy), ticks(F.col("price")), quotas,
+                math.ceil(low * 10 - 1e-9), math.floor(high * 10 + 1e-9), attempts, seed,
+            ).withColumnRenamed("draw", "squad_id")
         else:
             drawn = successive_draws(pool, "position_id", "player_id", draw_weight(strategy),
                                      quotas, attempts, seed).withColumnRenamed("draw", "squad_id")

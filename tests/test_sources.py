@@ -14,7 +14,10 @@ from tidemark.operators.sets import disjoint_union
 from tidemark.sources import payloads
 from tidemark.sources.archive import file_inventory, relative_to, verify_inventory
 from tidemark.sources.runs import (
+    committed_runs,
     load_training,
+    manifests,
+    read_ordered,
     read_versions,
     register_views,
     registry,
@@ -181,3 +184,77 @@ def test_training_tables_unite_by_name(spark, tmp_path):
     assert {"x", "y", "training_source_file"} <= set(out.columns) and out.count() == 2
     with pytest.raises(ContractError):
         load_training(spark, [paths[0], paths[0]], keys)
+
+
+def test_rows_and_rules_are_counted_while_writing(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = spark.range(500).select("id", (F.col("id") % 7).alias("v"))
+    group = "write and count"
+    spark.sparkContext.setJobGroup(group, "")
+    write_run(spark, root, {"t": rows}, dt.datetime(2024, 1, 1, tzinfo=UTC), require={"t": {"a sign": F.col("v") >= 0}})
+    spark.sparkContext.setJobGroup("after", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 2  # the table and the manifest
+    with pytest.raises(ContractError, match="small.*142"):
+        write_run(spark, root, {"t": rows}, dt.datetime(2024, 1, 2, tzinfo=UTC),
+                  require={"t": {"small": F.col("v") < 5, "known": F.col("v").isNotNull()}})
+    with pytest.raises(ContractError, match="unknown"):
+        write_run(spark, root, {"t": rows.withColumn("v", F.lit(None).cast("int"))}, dt.datetime(2024, 1, 3, tzinfo=UTC),
+                  require={"t": {"unknown": F.col("v") < 5}})
+    noted = manifests(spark, root).collect()
+    assert [(r["table"], r["rows"]) for r in noted] == [("t", 500)] and len(committed_runs(spark, root)) == 1
+    assert manifests(spark, str(tmp_path / "none")).collect() == []
+    empty = write_run(spark, root, {"t": rows.limit(0)}, dt.datetime(2024, 1, 4, tzinfo=UTC))
+    assert {r["rows"] for r in manifests(spark, root).filter(F.col("folder") == empty).collect()} == {0}
+
+
+def test_many_runs_are_two_scans(spark, tmp_path):
+    """Schemas come from one scan of all manifests, whatever the number of runs."""
+    root = str(tmp_path / "store")
+    for day in range(1, 13):
+        df = spark.createDataFrame([(day, 1)] if day < 9 else [(day, 1, 2)], "k int, v int" if day < 9 else "k int, v int, w int")
+        write_run(spark, root, {"t": df.coalesce(1)}, dt.datetime(2024, 1, day, tzinfo=UTC))
+    group = "plan"
+    spark.sparkContext.setJobGroup(group, "")
+    versions = read_versions(spark, root, "t", T.StructType([]))
+    spark.sparkContext.setJobGroup("after", "")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    assert len(jobs) <= 3
+    assert versions._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert sorted(r["k"] for r in versions.collect()) == list(range(1, 13)) and "w" in versions.columns
+    old = f"{root}/{run_id(dt.datetime(2024, 2, 1, tzinfo=UTC))}"  # a run that noted no schema
+    spark.createDataFrame([(99, 1)], "k int, v int").write.parquet(f"{old}/t")
+    spark.createDataFrame([(json.dumps({"snapshot_id": "x", "tables": {"t": 1}}),)], "value string").write.text(f"{old}/manifest")
+    assert read_versions(spark, root, "t", T.StructType([])).count() == 13
+
+
+def test_ordered_files(spark, tmp_path):
+    """A first key with most rows is spread; files follow each other; places count over all."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5)).alias("k"),
+        F.when(F.col("id") % 11 != 0, F.col("id") * 7919 % 1000).alias("v"), "id")
+    run = write_run(spark, str(tmp_path), {"t": rows}, dt.datetime(2024, 1, 1, tzinfo=UTC), order_by={"t": ["k", "v", "id"]})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        wide = write_run(spark, str(tmp_path), {"t": rows}, dt.datetime(2024, 1, 2, tzinfo=UTC), order_by={"t": ["k", "v", "id"]})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(spark.read.parquet(f"{wide}/t-bounds").collect(), key=lambda r: r["file"])
+    assert len(files) > 2 and max(r["rows"] for r in files) < 2 * 3000 / len(files)
+    want = [tuple(r) for r in rows.orderBy("k", "v", "id").collect()]
+    for path in (run, wide):
+        got = sorted(read_ordered(spark, f"{path}/t").collect(), key=lambda r: r["position"])
+        assert [r["position"] for r in got] == list(range(3000)) and [tuple(r)[:3] for r in got] == want
+    plan = read_ordered(spark, f"{wide}/t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [" not in plan
+
+
+def test_newest_snapshot_is_pruned(spark, tmp_path):
+    from tidemark.queries.pipelines import PRUNED_BEFORE, PRUNED_SEASON, pruned_snapshot
+
+    root = str(tmp_path / "store")
+    rows = spark.range(600).select(F.col("id").alias("o_orderkey"), (F.lit(PRUNED_SEASON - 1) + F.col("id") % 3).cast("int").alias("season"),
+                                   (F.lit(PRUNED_BEFORE - 3) + F.col("id") % 7).cast("int").alias("snapshot"))
+    write_run(spark, root, {"orders": rows}, dt.datetime(2024, 1, 1, tzinfo=UTC), partition_by={"orders": ["season", "snapshot"]})
+    out = pruned_snapshot(spark, root)
+    assert {(r["season"], r["snapshot"]) for r in out.collect()} == {(PRUNED_SEASON, PRUNED_BEFORE)} and out.count() == 29
+    assert "dynamicpruning" in out._jdf.queryExecution().executedPlan().toString()

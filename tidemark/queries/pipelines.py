@@ -11,13 +11,23 @@ from pyspark.sql import types as T
 from tidemark.ml.features import ModelInputs
 from tidemark.ml.training import calibrate, compare
 from tidemark.operators.evaluation import brier_scores
+from tidemark.operators.joins import newest_identity, rows_of
 from tidemark.operators.rules import PositionRule, SquadRules
 from tidemark.operators.temporal import latest_wins, past_cumulative
 from tidemark.plans.reference import reference_population
-from tidemark.queries.common import month_index, rounded, table
+from tidemark.queries.common import MONTH, month_index, rounded, seconds, table
 from tidemark.session import checkpointed, shared_folder
 from tidemark.sources.archive import file_inventory, read_seasons, relative_to, verify_inventory
-from tidemark.sources.runs import nested_to_json, read_versions, register_views, registry, run_id, write_run
+from tidemark.sources.runs import (
+    manifests,
+    nested_to_json,
+    read_ordered,
+    read_versions,
+    register_views,
+    registry,
+    run_id,
+    write_run,
+)
 
 
 def q_inventory_check(spark, folder):
@@ -261,7 +271,70 @@ def q_calibrated_probability(spark, folder):
                    "raw", "calibrated")
 
 
+def q_run_manifest(spark, folder):
+    """Rows per table as counted while they were written, over two runs of three tables."""
+    root = _new_root(spark, "manifest")
+    orders, events = table(spark, folder, "orders"), table(spark, folder, "events")
+    wrong = {"orders": {"a price": F.col("o_totalprice") >= 0}}
+    write_run(spark, root, {"orders": orders, "events": events}, datetime(2024, 1, 1, tzinfo=timezone.utc), require=wrong)
+    write_run(spark, root, {"orders": orders.filter("o_orderstatus = 'F'"), "parts": table(spark, folder, "part")},
+              datetime(2024, 1, 2, tzinfo=timezone.utc), partition_by={"parts": ["p_brand"]}, require=wrong)
+    return manifests(spark, root).select(F.substring("snapshot_id", 1, 8).alias("day"), "table", "rows")
+
+
+RUN_MANIFEST = """
+SELECT '20240101' AS day, 'orders' AS table, count(*) AS rows FROM orders
+UNION ALL SELECT '20240101', 'events', count(*) FROM events
+UNION ALL SELECT '20240102', 'orders', count(*) FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT '20240102', 'parts', count(*) FROM part"""
+
+
+def q_ordered_sink(spark, folder):
+    """Events written in order of type, user, hour and id, read back with their place."""
+    root = _new_root(spark, "ordered")
+    events = table(spark, folder, "events").select(
+        "event_type", "user_id", F.floor(seconds("ts") / 3600).alias("hour"), "event_id", "value")
+    run = write_run(spark, root, {"events": events}, datetime(2024, 1, 1, tzinfo=timezone.utc),
+                    order_by={"events": ["event_type", "user_id", "hour", "event_id"]})
+    return read_ordered(spark, f"{run}/events")
+
+
+ORDERED_SINK = """
+WITH e AS (SELECT event_type, user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, event_id, value FROM events)
+SELECT *, row_number() OVER (ORDER BY event_type, user_id, hour, event_id) - 1 AS position FROM e"""
+
+PRUNED_SEASON, PRUNED_BEFORE = 1998, 1998 * 12 + 9
+
+
+def pruned_snapshot(spark, root):
+    """Rows of the newest snapshot of a season up to a month, from a store in snapshot folders."""
+    versions = read_versions(spark, root, "orders", T.StructType([]))
+    identity = newest_identity(versions.select("season", "snapshot"), ["season", "snapshot"], "snapshot",
+                               {"season": PRUNED_SEASON}, F.lit(PRUNED_BEFORE))
+    return rows_of(versions, identity)
+
+
+def q_pruned_snapshot(spark, folder):
+    """Orders stored by season and month; only the folder of the newest month asked for is read."""
+    root = _new_root(spark, "pruned")
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_totalprice", F.year("o_orderdate").alias("season"), month_index("o_orderdate").alias("snapshot"))
+    write_run(spark, root, {"orders": orders.repartition("season", "snapshot")}, datetime(2024, 1, 1, tzinfo=timezone.utc),
+              partition_by={"orders": ["season", "snapshot"]})
+    return pruned_snapshot(spark, root).select(
+        "o_orderkey", "o_totalprice", F.col("season").cast("bigint").alias("season"), F.col("snapshot").cast("bigint").alias("snapshot"))
+
+
+PRUNED_SNAPSHOT = f"""
+WITH o AS (SELECT o_orderkey, o_totalprice, year(o_orderdate) AS season, {MONTH.format('o_orderdate')} AS snapshot FROM orders)
+SELECT * FROM o WHERE season = {PRUNED_SEASON} AND snapshot = (
+  SELECT max(snapshot) FROM o WHERE season = {PRUNED_SEASON} AND snapshot <= {PRUNED_BEFORE})"""
+
+
 QUERIES = {
+    "run_manifest": (q_run_manifest, RUN_MANIFEST),
+    "ordered_sink": (q_ordered_sink, ORDERED_SINK),
+    "pruned_snapshot": (q_pruned_snapshot, PRUNED_SNAPSHOT),
     "inventory_check": (q_inventory_check, INVENTORY_CHECK),
     "run_store_views": (q_run_store_views, RUN_STORE_VIEWS),
     "run_registry": (q_run_registry, RUN_REGISTRY),

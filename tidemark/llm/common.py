@@ -32,11 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: later jobs start there.
 
-    Losing an executor afterwards costs nothing, and no upstream work is repeated.
+    Losing an executor afterwards costs nothing, and no upstream work is repeated. The
+    shuffle files that led to the table are not needed any more: Spark deletes them
+    when the driver's memory is collected, which is asked for here, so that a job of
+    many steps holds one step's files at a time.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

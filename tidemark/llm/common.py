@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,18 +31,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for what is run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def arrow_rows(spark: SparkSession, rows: int) -> contextlib.AbstractContextManager[None]:
+    """Larger Arrow batches for tables written inside, of rows that are short."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: later jobs start there.
 
     Losing an executor afterwards costs nothing, and no upstream work is repeated. The
-    shuffle files that led to the table are not needed any more: Spark deletes them
-    when the driver's memory is collected, which is asked for here, so that a job of
-    many steps holds one step's files at a time.
+    shuffle files that led to the table are deleted with the write's end, so that a job
+    of many steps holds one step's files at a time.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -109,3 +109,31 @@ def cost_summary(costs: DataFrame, cost: str, chunks: int | None = None) -> Data
     """Minimum, median and maximum, exact."""
     return exact_quantiles(
         costs, [], cost, {"minimum": 0.0, "median": 0.5, "maximum": 1.0}, chunks)
+
+
+def manager_audit(
+    picks: DataFrame, manager: str, item: str, group: str, order: Sequence[str], counted,
+    price: str, rates: DataFrame, population: str, chunks: int | None = None,
+) -> DataFrame:
+    """What a sample of managers holds, in one row.
+
+    Numbers of managers, picks and different items; a histogram of formations (a map,
+    as long as there are formations); the least, median and largest squad cost; and
+    the agreement of :func:`selection_rates` with the population's rates. Managers are
+    folded to a formation and a cost each before anything is compared; the parts are
+    one row each.
+    """
+    shape = picks.groupBy(manager).agg(
+        F.concat_ws("-", *[F.count_if(counted & (F.col(group) == F.lit(v))).cast("string") for v in order]).alias("formation"),
+        F.sum(price).alias("__cost"))
+    histogram = shape.groupBy("formation").agg(F.count("*").alias("n")).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("formation", "n")))).alias("formations"))
+    sizes = picks.agg(F.count_distinct(manager).alias("managers"), F.count("*").alias("picks"),
+                      F.count_distinct(item).alias("unique_items"))
+    costs = cost_summary(shape, "__cost", chunks).withColumnsRenamed(
+        {n: f"cost_{n}" for n in ("minimum", "median", "maximum")})
+    out = sizes
+    for part in (histogram, costs, sample_audit(rates, population)):
+        # Left, as an empty sample has no cost at all.
+        out = out.join(F.broadcast(part), how="left")
+    return out

@@ -228,7 +228,9 @@ def best_single_swap(
     ``squad_size + 1`` options per squad are valued in full.
 
     ``members``: squad_id, player_id, position_id, club_id, sell_ticks, points.
-    ``squad_budget``: squad_id, budget.
+    ``squad_budget``: squad_id, budget. Returns squad_id, out_id, in_id (both NULL for
+    no swap), the objective, and what the squad is worth ``without`` a swap. Options
+    that differ by less than 1e-9 tie: no swap first, then the lowest ids.
     """
     money = members.groupBy(squad_id).agg(F.sum("sell_ticks").alias("__held_ticks")).join(
         squad_budget.select(squad_id, ticks(F.round("budget", 1)).alias("__budget")), squad_id)
@@ -257,11 +259,12 @@ def best_single_swap(
         squad_id, "__o.out_id", "__o.in_id",
         (squad_value(F.col("__after"), rules, bench_weight) - hit).alias("objective"))
     rank = F.struct(
-        "objective", F.coalesce(-F.col("in_id"), F.lit(0)).alias("minus_in"),
+        F.round("objective", 9).alias("worth"), F.coalesce(-F.col("in_id"), F.lit(0)).alias("minus_in"),
         F.coalesce(-F.col("out_id"), F.lit(0)).alias("minus_out"))
     picked = valued.filter("objective IS NOT NULL").groupBy(squad_id).agg(
-        F.max_by(F.struct("out_id", "in_id", "objective"), rank).alias("__w"))
-    return picked.select(squad_id, "__w.*")
+        F.max_by(F.struct("out_id", "in_id", "objective"), rank).alias("__w"),
+        F.max(F.when(F.col("out_id").isNull(), F.col("objective"))).alias("without"))
+    return picked.select(squad_id, "__w.*", "without")
 
 
 def transfer_summary(

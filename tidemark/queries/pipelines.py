@@ -18,6 +18,7 @@ from tidemark.plans.reference import reference_population
 from tidemark.queries.common import MONTH, month_index, rounded, seconds, table
 from tidemark.session import checkpointed, shared_folder
 from tidemark.sources.archive import file_inventory, read_seasons, relative_to, verify_inventory
+from tidemark.sources.quarantine import read_csv_records, read_json_records, write_quarantined
 from tidemark.sources.runs import (
     manifests,
     nested_to_json,
@@ -331,7 +332,57 @@ SELECT * FROM o WHERE season = {PRUNED_SEASON} AND snapshot = (
   SELECT max(snapshot) FROM o WHERE season = {PRUNED_SEASON} AND snapshot <= {PRUNED_BEFORE})"""
 
 
+EVENT_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
+    T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+
+
+def _damaged_events(spark, folder, root):
+    """Events as JSON lines and as CSV, of which some are cut, mistyped, incomplete or against a rule."""
+    kind = F.col("event_id") % 97
+    events = table(spark, folder, "events").select(
+        "event_id", F.when(kind != 2, F.col("user_id")).alias("user_id"), "event_type",
+        F.when(kind == 1, F.lit("dear")).when(kind == 3, F.lit("-1.5")).otherwise(F.col("value").cast("string")).alias("value"))
+    value = F.when(kind == 1, F.lit('"dear"')).otherwise(F.col("value"))
+    line = F.concat(F.lit('{"event_id":'), "event_id", F.when(kind != 2, F.concat(F.lit(',"user_id":'), "user_id")).otherwise(""),
+                    F.lit(',"event_type":"'), "event_type", F.lit('","value":'), value, F.lit("}"))
+    text = F.concat_ws(",", "event_id", F.coalesce(F.col("user_id").cast("string"), F.lit("")), "event_type", "value")
+    events.select(F.when(kind == 0, F.substring(line, 1, 12)).otherwise(line).alias("v")).write.text(f"{root}/json")
+    head = spark.createDataFrame([(",".join(EVENT_SCHEMA.names),)], "v string")
+    head.union(events.select(F.when(kind == 0, F.concat(text, F.lit(",more"))).otherwise(text).alias("v"))).write.text(f"{root}/csv")
+
+
+def q_quarantine(spark, folder):
+    """Records of both formats by what is wrong with them, written as runs and read back."""
+    root = _new_root(spark, "quarantine")
+    _damaged_events(spark, folder, root)
+    rules = {"negative": F.col("value") >= 0}
+    out = None
+    for kind, read in (("json", read_json_records), ("csv", read_csv_records)):
+        run = write_quarantined(spark, f"{root}/runs-{kind}", "events", read(
+            spark, f"{root}/{kind}", EVENT_SCHEMA, ["event_id", "user_id"], rules))
+        good = spark.read.parquet(f"{run}/events").select(
+            F.lit(kind).alias("source"), F.lit("good").alias("reason"), "event_id", F.round("value", 6).alias("value"))
+        bad = spark.read.parquet(f"{run}/events-rejects").select(
+            F.lit(kind).alias("source"), F.array_join("reasons", "; ").alias("reason"),
+            F.regexp_extract("line", '^(?:[{]"event_id":)?([0-9]*)', 1).try_cast("bigint").alias("event_id"), F.lit(None).cast("double").alias("value"))
+        both = good.union(bad)
+        out = both if out is None else out.union(both)
+    return out.groupBy("source", "reason").agg(
+        F.count("*").alias("rows"), F.sum(F.when((F.col("reason") != "malformed") | (F.col("source") == "csv"), F.col("event_id"))).alias("ids"),
+        F.round(F.sum("value"), 2).alias("total"))
+
+
+QUARANTINE = """
+WITH e AS (SELECT event_id, value, event_id % 97 AS kind FROM events),
+r AS (SELECT source, CASE WHEN kind < 2 THEN 'malformed' WHEN kind = 2 THEN 'lacks user_id'
+  WHEN kind = 3 THEN 'negative' ELSE 'good' END AS reason, * FROM e, (SELECT unnest(['json', 'csv']) AS source))
+SELECT source, reason, count(*) AS rows, CAST(sum(CASE WHEN reason <> 'malformed' OR source = 'csv' THEN event_id END) AS BIGINT)
+  AS ids, round(sum(CASE WHEN reason = 'good' THEN value END), 2) AS total FROM r GROUP BY 1, 2"""
+
+
 QUERIES = {
+    "quarantine": (q_quarantine, QUARANTINE),
     "run_manifest": (q_run_manifest, RUN_MANIFEST),
     "ordered_sink": (q_ordered_sink, ORDERED_SINK),
     "pruned_snapshot": (q_pruned_snapshot, PRUNED_SNAPSHOT),

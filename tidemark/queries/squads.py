@@ -14,6 +14,7 @@ from tidemark.operators.evaluation import leaderboard, prediction_metrics
 from tidemark.operators.joins import match_names
 from tidemark.operators.managers import (
     formations,
+    manager_audit,
     pick_violations,
     sample_audit,
     selection_rates,
@@ -46,6 +47,7 @@ from tidemark.operators.transfers import (
     transfer_summary,
 )
 from tidemark.queries.common import rounded, table
+from tidemark.session import checkpointed
 
 FLAGS = SquadRules(
     squad_size=9, starting_size=5, budget=1e9, max_per_club=9, positions=(
@@ -135,7 +137,7 @@ TRADE = SquadRules(
 
 
 def q_trade_value(spark, folder):
-    """What each order is worth after its best single swap, or none, and without one.
+    """The best single swap of each order, or none, with what it is worth then and without.
 
     Roles come from the part's type, clubs from its brand; an order has its own
     value and up to 0.3 more to spend; a swap costs two points more than one is free.
@@ -147,13 +149,10 @@ def q_trade_value(spark, folder):
         ticks(F.col("p_retailprice")).alias("price_ticks"), F.col("p_size").cast("double").alias("points"))
     held = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("squad_id"), F.col("l_partkey").alias("player_id")).distinct()
-    members = held.join(parts, "player_id").withColumnRenamed("price_ticks", "sell_ticks")
+    members = checkpointed(held.join(parts, "player_id").withColumnRenamed("price_ticks", "sell_ticks"))
     money = members.groupBy("squad_id").agg(
         ((F.sum("sell_ticks") + F.col("squad_id") % 4) / 10.0).alias("budget"))
-    swapped = best_single_swap(members, parts, TRADE, money, MAX_TICKS, free_transfers=0, hit_cost=2.0)
-    kept = best_single_swap(members, parts.limit(0), TRADE, money, MAX_TICKS)
-    out = swapped.select("squad_id", "objective").join(
-        kept.select("squad_id", F.col("objective").alias("without")), "squad_id")
+    out = best_single_swap(members, parts, TRADE, money, MAX_TICKS, free_transfers=0, hit_cost=2.0)
     return rounded(out, 4, "objective", "without")
 
 
@@ -164,22 +163,24 @@ a AS (SELECT p_partkey AS p, CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN 1
   CAST(round(p_retailprice * 10) AS BIGINT) AS t, p_size::DOUBLE AS pts FROM part),
 m AS (SELECT h.s, a.* FROM h JOIN a USING (p)),
 k AS (SELECT s, club, count(*) AS n FROM m GROUP BY 1, 2),
-o AS (SELECT m.s, m.p AS gone, max(i.pts) AS pts FROM m
+o AS (SELECT m.s, m.p AS gone, max(i.pts) AS pts, -max((i.pts, -i.p))[2] AS come FROM m
   JOIN a AS i ON i.pos = m.pos AND i.t <= m.t + m.s % 4
   LEFT JOIN k ON k.s = m.s AND k.club = i.club LEFT JOIN h ON h.s = m.s AND h.p = i.p
   WHERE h.p IS NULL AND coalesce(k.n, 0) - CASE WHEN i.club = m.club THEN 1 ELSE 0 END < {SWAP_CAP}
   GROUP BY 1, 2),
-c AS (SELECT DISTINCT s, -1 AS gone, 0::DOUBLE AS pts FROM m UNION ALL SELECT * FROM o),
-v AS (SELECT c.s, c.gone, m.pos, CASE WHEN m.p = c.gone THEN c.pts ELSE m.pts END AS x
+c AS (SELECT DISTINCT s, -1 AS gone, 0::DOUBLE AS pts, -1 AS come FROM m UNION ALL SELECT * FROM o),
+v AS (SELECT c.s, c.gone, c.come, m.pos, CASE WHEN m.p = c.gone THEN c.pts ELSE m.pts END AS x
   FROM c JOIN m ON m.s = c.s),
 r AS (SELECT *, row_number() OVER (PARTITION BY s, gone, pos ORDER BY x DESC) AS r FROM v),
 z AS (SELECT *, row_number() OVER (PARTITION BY s, gone ORDER BY CASE WHEN r <= 2 THEN 0 ELSE 1 END, x DESC)
   AS z FROM r),
-e AS (SELECT s, gone, 0.1 * sum(x) + 0.9 * sum(x) FILTER (WHERE r <= 2 AND z <= 3) + max(x)
+e AS (SELECT s, gone, any_value(come) AS come, 0.1 * sum(x) + 0.9 * sum(x) FILTER (WHERE r <= 2 AND z <= 3) + max(x)
     - CASE WHEN gone < 0 THEN 0 ELSE 2 END AS worth
-  FROM z GROUP BY 1, 2 HAVING count(*) FILTER (WHERE r <= 2 AND z <= 3) = 3)
-SELECT s AS squad_id, round(max(worth)::DOUBLE, 4) AS objective,
-  round((max(worth) FILTER (WHERE gone < 0))::DOUBLE, 4) AS without FROM e GROUP BY 1"""
+  FROM z GROUP BY 1, 2 HAVING count(*) FILTER (WHERE r <= 2 AND z <= 3) = 3),
+w AS (SELECT s, max((round(worth::DOUBLE, 9), -come, -gone)) AS best, max(worth) FILTER (WHERE gone < 0) AS without
+  FROM e GROUP BY 1)
+SELECT s AS squad_id, CASE WHEN best[3] <= 0 THEN -best[3] END AS out_id, CASE WHEN best[3] <= 0 THEN -best[2] END AS in_id,
+  round(best[1], 4) AS objective, round(without::DOUBLE, 4) AS without FROM w"""
 
 
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -313,6 +314,38 @@ SELECT count(*) AS items, round(corr(p_size / 100.0::DOUBLE, g), 8) AS pearson_c
 FROM c JOIN part ON p_partkey = l_partkey"""
 
 
+def q_manager_audit(spark, folder):
+    """Customers as managers of the parts they bought, in full."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    picks = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_extendedprice").join(orders, "o_orderkey")
+    never = F.lit(False)
+    rates = selection_rates(picks, "l_partkey", "o_custkey", never, never, never).join(
+        table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") / 100.0).alias("rate")), "l_partkey")
+    out = manager_audit(picks, "o_custkey", "l_partkey", "o_orderpriority", PRIORITIES[:2], F.col("o_orderstatus") == "P",
+                        "l_extendedprice", rates, "rate")
+    shown = out.withColumn("formations", F.array_join(F.transform(F.array_sort(F.map_entries("formations")), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("string"))), " "))
+    return rounded(rounded(shown, 2, "cost_minimum", "cost_median", "cost_maximum"), 8, "pearson_correlation", "mean_absolute_error")
+
+
+MANAGER_AUDIT = """
+WITH k AS (SELECT o_custkey AS m, l_partkey AS p, l_extendedprice AS x, o_orderpriority AS g, o_orderstatus AS s
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+f AS (SELECT m, count(*) FILTER (WHERE s = 'P' AND g = '1-URGENT') || '-' || count(*) FILTER (WHERE s = 'P' AND g = '2-HIGH')
+  AS formation, sum(x) AS cost FROM k GROUP BY 1),
+h AS (SELECT string_agg(formation || '=' || n, ' ' ORDER BY formation) AS formations
+  FROM (SELECT formation, count(*) AS n FROM f GROUP BY 1)),
+r AS (SELECT p, 100.0::DOUBLE * count(DISTINCT m) / (SELECT count(DISTINCT m) FROM k) AS v FROM k GROUP BY 1),
+a AS (SELECT count(*) AS items, round(corr(p_size / 100.0::DOUBLE, v), 8) AS pearson_correlation,
+  round(avg(abs(p_size / 100.0::DOUBLE - v)), 8) AS mean_absolute_error FROM r JOIN part ON p_partkey = p)
+SELECT count(DISTINCT m) AS managers, count(*) AS picks, count(DISTINCT p) AS unique_items, any_value(formations) AS formations,
+  (SELECT round(min(cost), 2) FROM f) AS cost_minimum, (SELECT round(median(cost), 2) FROM f) AS cost_median,
+  (SELECT round(max(cost), 2) FROM f) AS cost_maximum, any_value(items) AS items,
+  any_value(pearson_correlation) AS pearson_correlation, any_value(mean_absolute_error) AS mean_absolute_error
+FROM k, h, a"""
+
+
 def q_inclusion_calibration(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, folder, "part").select(
@@ -792,6 +825,7 @@ QUERIES = {
     "selection_rates": (q_selection_rates, SELECTION_RATES),
     "formation_pivot": (q_formation_pivot, FORMATION_PIVOT),
     "sample_audit": (q_sample_audit, SAMPLE_AUDIT),
+    "manager_audit": (q_manager_audit, MANAGER_AUDIT),
     "inclusion_calibration": (q_inclusion_calibration, INCLUSION_CALIBRATION),
     "pick_violations": (q_pick_violations, PICK_VIOLATIONS),
     "midrank_rating": (q_midrank_rating, MIDRANK_RATING),

@@ -64,6 +64,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write a frame to the shared folder in buckets of its key: joins on it shuffle the other side only."""
+    spark = df.sparkSession
+    title = f"llm_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    buckets = shuffle_partitions(spark)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
+         .option("path", f"{shared_folder(spark)}/{title}").saveAsTable(title))
+    return spark.table(title)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, for their Python workers."""
     context = spark.sparkContext

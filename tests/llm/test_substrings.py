@@ -54,6 +54,14 @@ def test_anchors_dealt_over_collections(spark, monkeypatch):
     assert found(repeat_digests(plain(spark, rows), length=24, gram=8)) == slow(rows, 24)
 
 
+def test_many_copies_of_one_text(spark):
+    """A text that is most of all rows, and a variant that shares a part of it."""
+    source = random.Random(9)
+    text = "".join(source.choice("abcdefgh ") for _ in range(900))
+    rows = [(i, text) for i in range(300)] + [(900, "x" * 50 + text[200:700] + "y" * 50), (901, "alone " * 5)]
+    assert found(repeat_digests(plain(spark, rows))) == slow(rows, 400)
+
+
 def test_columns_find_neighbours():
     source = np.random.default_rng(1)
     rows = source.integers(0, 2, (40, 60)).astype(np.uint16)

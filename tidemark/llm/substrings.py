@@ -248,7 +248,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
               .withColumn("part", F.pmod("body", "shares").cast("int"))
               .groupBy("t1", "t2").agg(F.collect_list(F.struct(
                   "anchor", "part", "shares", "body", "shift", "first", "windows")).alias("wanted")))
-    cut = keyed.join(wanted, ["t1", "t2"]).select("text", "wanted").mapInArrow(
+    # Copies of a text hold the same stretches; one of them is cut.
+    once = keyed.groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    cut = once.join(wanted, ["t1", "t2"]).select("text", "wanted").mapInArrow(
         lambda b: _cut(b, length), "anchor bigint, part int, shares int, body bigint, shift int, data binary")
     found = written(cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(
         lambda b: _collections(b, length, gram), _DUPLICATES), "repeated")

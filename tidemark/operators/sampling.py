@@ -100,6 +100,16 @@ def _prepared(
     return spans, totals
 
 
+def _draws_of_strata(
+    pool: DataFrame, stratum: str, quotas: Mapping[object, int], totals: DataFrame, draws: int,
+) -> DataFrame:
+    """(draw, stratum) for every stratum with items: the quotas are listed, nothing is crossed."""
+    kind = pool.schema[stratum].dataType
+    listed = F.array(*[F.lit(value).cast(kind) for value in quotas])
+    asked = pool.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(listed).alias(stratum))
+    return asked.join(totals.select(stratum), stratum, "left_semi").select("draw", stratum)
+
+
 def successive_draws(
     pool: DataFrame, stratum: str, item: str, weight: Column, quotas: Mapping[object, int],
     draws: int, seed: int, buckets: int = 1024,
@@ -111,9 +121,7 @@ def successive_draws(
     picks first), until every draw is complete.
     """
     spans, totals = _prepared(pool, stratum, item, weight, quotas, buckets)
-    strata = totals.select(stratum)
-    open_draws = pool.sparkSession.range(draws).withColumnRenamed("id", "draw").join(
-        F.broadcast(strata))
+    open_draws = _draws_of_strata(pool, stratum, quotas, totals, draws)
     finished: DataFrame | None = None
     factor = 2
     for _ in range(PICK_LIMIT):
@@ -145,8 +153,7 @@ def product_subsets(
     independent of each other and may be joined to whole squads.
     """
     spans, totals = _prepared(pool, stratum, item, weight, quotas, buckets)
-    tries = pool.sparkSession.range(attempts).withColumnRenamed("id", "draw").join(
-        F.broadcast(totals.select(stratum)))
+    tries = _draws_of_strata(pool, stratum, quotas, totals, attempts)
     picks = _picks(tries, "draw", spans, totals, stratum, item, seed, F.col("quota"))
     accepted = picks.groupBy("draw", stratum, "quota").agg(
         F.count_distinct(item).alias("__d")).filter("__d = quota").select("draw", stratum)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import ordered
 from tidemark.operators.guards import ContractError, validate_horizons
 from tidemark.operators.managers import pick_violations
 from tidemark.operators.sets import disjoint_union
@@ -258,3 +259,39 @@ def test_newest_snapshot_is_pruned(spark, tmp_path):
     out = pruned_snapshot(spark, root)
     assert {(r["season"], r["snapshot"]) for r in out.collect()} == {(PRUNED_SEASON, PRUNED_BEFORE)} and out.count() == 29
     assert "dynamicpruning" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pick_rules_fold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Partitions follow the rows; results are those of a plain count per manager."""
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 20)
+    rows = []
+    for m in range(60):
+        for place in range(1, 5):
+            player = {1: 1, 2: 99, 3: None}.get(m % 7, place) if place == 4 else place
+            rows.append((m if m < 58 else None, player, 4 if m % 5 == 1 and place == 3 else place,
+                         place == 1 or (m % 11 == 3 and place == 2), place == 2 and m % 13 != 4))
+    rows += [(57, p, p, None, None) for p in range(1, 200)]
+    picks = spark.createDataFrame(
+        rows, "manager_id bigint, player_id bigint, squad_position int, is_captain boolean, is_vice_captain boolean")
+    known = spark.range(1, 90).select(F.col("id").alias("player_id"))
+    out = pick_violations(picks, ["manager_id"], known, size=4)
+    assert out.rdd.getNumPartitions() >= len(rows) // 20
+    want = {}
+    for m in range(58):
+        own = [r for r in rows if r[0] == m]
+        players = {r[1] for r in own if r[1] is not None}
+        broken = [len(own) != 4, len(players) != len(own), {r[2] for r in own} != {1, 2, 3, 4},
+                  sum(bool(r[3]) for r in own) != 1, sum(bool(r[4]) for r in own) != 1,
+                  any(r[1] is None or not 1 <= r[1] < 90 for r in own)]
+        if any(broken):
+            want[m] = sum(broken)
+    assert {r["manager_id"]: len(r["reasons"]) for r in out.collect()} == want
+
+
+def test_places_of_large_squads(spark):
+    """More places than a word has bits."""
+    rows = [(m, p, 69 if m and p == 70 else p, p == 1, p == 2) for m in (0, 1) for p in range(1, 71)]
+    picks = spark.createDataFrame(
+        rows, "manager_id int, player_id int, squad_position int, is_captain boolean, is_vice_captain boolean")
+    out = pick_violations(picks, ["manager_id"], size=70).collect()
+    assert [(r["manager_id"], r["reasons"]) for r in out] == [(1, ["places are not 1 to the squad size"])]

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import guarded_pearson
 from tidemark.operators.joins import lookup
-from tidemark.operators.ordered import exact_quantiles
+from tidemark.operators.ordered import chunk_count, exact_quantiles
+from tidemark.session import checkpointed, plain_scan
 
 
 def lineup_role(position, starters: int = 11):
@@ -23,24 +25,47 @@ def pick_violations(
     """Managers whose picks break a rule, with all reasons.
 
     Rules: ``size`` picks, distinct players, places exactly 1..size, one captain
-    and one vice-captain, and only known players. Checks are counts, sums and
-    bounds, so a manager with any number of rows costs one row per task.
+    and one vice-captain, and only known players. A manager that is NULL is no manager.
+
+    Known players are hashed, so picks are not sorted to find theirs. Picks are then
+    dealt by manager and player, and what is left of a manager in each part by manager,
+    over as many partitions as :func:`chunk_count` gives: a task folds about as many
+    rows however many there are, and a manager with many players is folded in all of
+    them. Places are bits, so they need no pass of their own.
     """
-    rows = picks
+    rows = picks.filter(reduce(lambda a, b: a & b, [F.col(m).isNotNull() for m in manager]))
+    if not plain_scan(rows):
+        rows = checkpointed(rows)
+    parts = chunk_count(rows)
     if known is not None:
-        rows = rows.join(known.select("player_id").distinct().withColumn("__known", F.lit(True)),
-                         "player_id", "left")
+        rows = rows.join(known.select("player_id").distinct().withColumn("__known", F.lit(True))
+                         .hint("shuffle_hash"), "player_id", "left")
     else:
         rows = rows.withColumn("__known", F.lit(True))
-    folded = rows.groupBy(*manager).agg(
-        F.count("*").alias("n"),
-        F.count_distinct("player_id").alias("players"),
-        F.min("squad_position").alias("low"), F.max("squad_position").alias("high"),
-        F.sum(F.col("is_captain").cast("int")).alias("captains"),
-        F.sum(F.col("is_vice_captain").cast("int")).alias("vices"),
-        F.count_if(F.col("__known").isNull()).alias("unknown"),
-    )
-    places = rows.groupBy(*manager).agg(F.count_distinct("squad_position").alias("places"))
+    words = [(first, min(first + 62, size)) for first in range(1, size + 1, 63)]
+    dealt = [*manager, "__part"]
+    folded = (
+        rows.withColumn("__part", F.pmod(F.hash("player_id"), F.lit(parts)))
+        .repartition(parts, *dealt).groupBy(*dealt, "player_id").agg(
+            F.count("*").alias("n"),
+            F.min("squad_position").alias("low"), F.max("squad_position").alias("high"),
+            F.sum(F.col("is_captain").cast("int")).alias("captains"),
+            F.sum(F.col("is_vice_captain").cast("int")).alias("vices"),
+            F.count_if(F.col("__known").isNull()).alias("unknown"),
+            *[F.expr(f"bit_or(CASE WHEN squad_position BETWEEN {low} AND {high} "
+                     f"THEN shiftleft(1L, CAST(squad_position - {low} AS INT)) END)").alias(f"word_{low}")
+              for low, high in words])
+        .withColumn("players", F.col("player_id").isNotNull().cast("bigint")))
+
+    def combined(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return df.groupBy(*keys).agg(
+            *[F.sum(c).alias(c) for c in ("n", "players", "captains", "vices", "unknown")],
+            F.min("low").alias("low"), F.max("high").alias("high"),
+            *[F.bit_or(f"word_{low}").alias(f"word_{low}") for low, _ in words])
+
+    folded = combined(combined(folded, dealt).repartition(parts, *manager), manager)
+    places = reduce(lambda a, b: a + b, [F.coalesce(F.bit_count(f"word_{low}"), F.lit(0)) for low, _ in words])
+    folded = folded.withColumn("places", places)
     reasons = F.array_compact(F.array(
         F.when(F.col("n") != size, F.lit("wrong number of picks")),
         F.when(F.col("players") != F.col("n"), F.lit("repeated players")),
@@ -50,8 +75,7 @@ def pick_violations(
         F.when(F.coalesce("vices", F.lit(0)) != 1, F.lit("needs one vice-captain")),
         F.when(F.col("unknown") > 0, F.lit("unknown players")),
     ))
-    return folded.join(places, list(manager)).select(
-        *manager, reasons.alias("reasons")).filter(F.size("reasons") > 0)
+    return folded.select(*manager, reasons.alias("reasons")).filter(F.size("reasons") > 0)
 
 
 def enrich_picks(picks: DataFrame, players: DataFrame) -> DataFrame:

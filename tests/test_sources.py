@@ -5,6 +5,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +13,8 @@ from tidemark.operators import ordered
 from tidemark.operators.guards import ContractError, validate_horizons
 from tidemark.operators.managers import pick_violations
 from tidemark.operators.sets import disjoint_union
+from tidemark.queries.pipelines import q_csv_archive
+from tidemark.session import plain_scan
 from tidemark.sources import payloads
 from tidemark.sources.archive import file_inventory, relative_to, verify_inventory
 from tidemark.sources.runs import (
@@ -295,3 +298,27 @@ def test_places_of_large_squads(spark):
         rows, "manager_id int, player_id int, squad_position int, is_captain boolean, is_vice_captain boolean")
     out = pick_violations(picks, ["manager_id"], size=70).collect()
     assert [(r["manager_id"], r["reasons"]) for r in out] == [(1, ["places are not 1 to the squad size"])]
+
+
+def test_archive_joins_lines_once(spark, monkeypatch, tmp_path):
+    """Every season's files are written from a table, not from the join again."""
+    plain, write = [], DataFrameWriter.csv
+
+    def spy(self, *args, **kwargs):
+        plain.append(plain_scan(self._df))
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "csv", spy)
+    orders = [(k, k % 3, dt.datetime(1994 + k % 2, 1 + k, 1)) for k in range(6)]
+    lines = [(k, n, 1, n, 2.0, 10.0, 0.0 if n == 2 else 0.1, 0.0, "A", "F") for k in range(6) for n in (1, 2, 3)]
+    for name, rows, schema in (
+            ("orders", orders, "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz"),
+            ("lineitem", lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+             "l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+             "l_linestatus string"),
+            ("supplier", [(1, "one")], "s_suppkey bigint, s_name string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = q_csv_archive(spark, str(tmp_path)).orderBy("season").collect()
+    assert plain and all(plain)
+    assert [(r["season"], r["rows"], r["points"], r["valued"], r["home_minutes"], r["fixtures"], r["clubs"])
+            for r in out] == [("1994-95", 9, 90.0, 6, 6.0, 3, 1), ("1995-96", 9, 90.0, 6, 6.0, 3, 1)]

@@ -114,7 +114,8 @@ def q_csv_archive(spark, folder):
     """Order lines written as season archives in CSV and read back with typed columns.
 
     A value that is no number, a leaking column and files in season folders are
-    part of it; the result sums each season's matches, fixtures and teams.
+    part of it; the result sums each season's matches, fixtures and teams. Lines meet
+    their orders once, in a table that the seasons' files are written from.
     """
     root = _new_root(spark, "archive")
     orders = table(spark, folder, "orders").select(
@@ -127,6 +128,9 @@ def q_csv_archive(spark, folder):
         F.col("l_extendedprice").alias("total_points"),
         F.when(F.col("l_discount") == 0, F.lit("n/a")).otherwise(F.col("l_discount").cast("string")).alias("value"),
         (F.col("l_linenumber") == 1).alias("was_home"))
+    joined = _new_root(spark, "archive-lines")
+    lines.write.parquet(joined)
+    lines = spark.read.parquet(joined)
     games = orders.select("year", F.col("o_orderkey").alias("id"), F.col("round").alias("event"),
                           F.col("o_custkey").alias("team_h"), F.col("o_custkey").alias("team_a"), "kickoff_time")
     teams = table(spark, folder, "supplier").select(

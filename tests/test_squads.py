@@ -21,7 +21,7 @@ from tidemark.operators.squads import (
     project,
     squad_report,
 )
-from tidemark.operators.transfers import best_single_swap
+from tidemark.operators.transfers import TRIED, best_replacements, best_single_swap
 from tidemark.plans.rating import COMPONENTS, rate_squads
 
 # The rules of the game.
@@ -195,6 +195,18 @@ def test_best_single_swap_is_exact(spark, free):
         assert out[s]["objective"] == pytest.approx(best), s
 
 
+def test_replacement_lies_behind_many_that_do_not_fit(spark):
+    """The squad holds the best players of the list, more than are tried one by one."""
+    n = TRIED + 3
+    pool = spark.createDataFrame(
+        [(i, 1, i, 5, float(100 - i)) for i in range(n + 2)],
+        "player_id bigint, position_id int, club_id int, price_ticks bigint, points double")
+    members = spark.createDataFrame([(7, i, 1, i, 5) for i in range(n)], "squad_id int, "
+                                    "player_id bigint, position_id int, club_id int, limit_ticks bigint")
+    out = best_replacements(members, pool, 15, 2).collect()
+    assert sorted((r["out_id"], r["in_id"]) for r in out) == [(i, n) for i in range(n)]
+
+
 def test_captain_fallback_value(spark, players):
     pair = spark.createDataFrame(
         [(1, 19.0, 16.0, 0.0, 1.0)], "squad_id int, c1 double, v1 double, pc double, pv double")

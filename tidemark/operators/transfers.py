@@ -11,6 +11,8 @@ from tidemark.operators.rules import SquadRules
 from tidemark.operators.squads import _ranked
 
 PRICE_SCALE = 10
+# Entries of a short list that are tried one by one before the rest is searched.
+TRIED = 6
 
 
 def selling_prices(
@@ -164,14 +166,18 @@ def best_replacements(
         F.least(F.col("limit_ticks").cast("bigint"), F.lit(max_price)).alias("__limit"),
     ).groupBy(squad_id).agg(F.collect_list(F.struct(
         "player_id", "position_id", "club_id", "__limit")).alias("__m"))
-    # Clubs at the cap are closed, unless the leaving member opens a place.
+    # Clubs at the cap are closed, unless the leaving member opens a place. They are looked
+    # for only where members share clubs enough.
     clubs_of = "array_distinct(__m.club_id)"
     taken = "size(filter(__m, m -> m.club_id = c))"
+
+    def clubs_with(holds: str) -> Column:
+        return F.expr(f"CASE WHEN size(__m) - size({clubs_of}) + 1 >= {max_per_club} THEN filter({clubs_of}, "
+                      f"c -> {taken} {holds} {max_per_club}) ELSE slice(__m.club_id, 1, 0) END")
+
     limited = packed.select(
-        squad_id, F.col("__m.player_id").alias("__held"),
-        F.expr(f"filter({clubs_of}, c -> {taken} > {max_per_club})").alias("__over"),
-        F.expr(f"filter({clubs_of}, c -> {taken} = {max_per_club})").alias("__at_cap"),
-        F.inline("__m"))
+        squad_id, F.col("__m.player_id").alias("__held"), clubs_with(">").alias("__over"),
+        clubs_with("=").alias("__at_cap"), F.inline("__m"))
     # Each (position, limit) is resolved once, however many members ask for it.
     asked = limited.select("position_id", "__limit").distinct().select(
         "position_id", "__limit",
@@ -180,13 +186,16 @@ def best_replacements(
     cheap = asked.join(blocks, ["position_id", "level", "block"]).select(
         "position_id", "__limit", "club_id", "points", "player_id")
     lists = shortlist(cheap, ["position_id", "__limit"]).groupBy("position_id", "__limit").agg(
-        F.collect_list(F.struct(
-            "points", (-F.col("player_id")).alias("minus_id"), "club_id")).alias("__list"))
+        F.sort_array(F.collect_list(F.struct(
+            "points", (-F.col("player_id")).alias("minus_id"), "club_id")), False).alias("__list"))
     met = limited.join(lists, ["position_id", "__limit"])
-    pick = F.expr(
-        "inline(array_compact(array(array_max(filter(__list, e -> "
-        "NOT array_contains(__held, -e.minus_id) AND NOT array_contains(__over, e.club_id) "
-        "AND (e.club_id = club_id OR NOT array_contains(__at_cap, e.club_id)))))))")
+    # The best entry that fits is the first of the sorted list, mostly among its first few.
+    fits = ("NOT array_contains(__held, -{0}.minus_id) AND NOT array_contains(__over, {0}.club_id) "
+            "AND ({0}.club_id = club_id OR NOT array_contains(__at_cap, {0}.club_id))")
+    tried = [f"CASE WHEN {fits.format(f'get(__list, {i})')} THEN get(__list, {i}) END"
+             for i in range(TRIED)]
+    rest = f"get(filter(__list, e -> {fits.format('e')}), 0)"
+    pick = F.expr(f"inline(array_compact(array(coalesce({', '.join(tried)}, {rest}))))")
     return met.select(squad_id, "player_id", pick).select(
         squad_id, F.col("player_id").alias("out_id"), (-F.col("minus_id")).alias("in_id"),
         F.col("points").alias("in_points"), F.col("club_id").alias("in_club"))

@@ -5,6 +5,7 @@ import math
 import random
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from tidemark.operators.squads import (
     project,
     squad_report,
 )
-from tidemark.operators.transfers import TRIED, best_replacements, best_single_swap
+from tidemark.operators.transfers import TRIED, best_replacements, best_single_swap, option_values
 from tidemark.plans.rating import COMPONENTS, rate_squads
 
 # The rules of the game.
@@ -195,6 +196,17 @@ def test_best_single_swap_is_exact(spark, free):
         assert out[s]["objective"] == pytest.approx(best), s
 
 
+def test_many_squads_are_valued_at_once():
+    _, teams = random_squads(30, pool=80, seed=4)
+    short = [p for p in teams[0][1] if p[2] != 1]  # no keeper: nothing can be fielded
+    rows = [*[team for _, team in teams], short]
+    worth, fielded = option_values(
+        np.array([len(r) for r in rows]), np.array([p[2] - 1 for r in rows for p in r]),
+        np.array([float(p[4]) for r in rows for p in r]), RULES, 0.1)
+    assert fielded.tolist() == [True] * len(teams) + [False]
+    assert worth[:-1].tolist() == pytest.approx([squad_worth(team) for _, team in teams])
+
+
 def test_replacement_lies_behind_many_that_do_not_fit(spark):
     """The squad holds the best players of the list, more than are tried one by one."""
     n = TRIED + 3
@@ -207,6 +219,26 @@ def test_replacement_lies_behind_many_that_do_not_fit(spark):
     assert sorted((r["out_id"], r["in_id"]) for r in out) == [(i, n) for i in range(n)]
 
 
+def test_swaps_of_repeated_and_unknown_members(spark):
+    """Copies of a member leave together; without points an option is no option."""
+    rules = SquadRules.from_settings(
+        {**SETTINGS, "squad_squadsize": 2, "squad_squadplay": 2},
+        [{"id": 1, "singular_name_short": "ANY", "squad_select": 2, "squad_min_play": 2, "squad_max_play": 2}])
+    columns = "player_id bigint, club_id int, position_id int, price_ticks bigint, points double"
+    pool = spark.createDataFrame([(1, 1, 1, 5, 2.0), (2, 2, 1, 5, 3.0), (3, 3, 1, 5, 9.0)], columns)
+    members = spark.createDataFrame(
+        [(1, 1, 1, 1, 5, 2.0), (1, 1, 1, 1, 5, 2.0), (1, 2, 2, 1, 5, 3.0),
+         (2, 1, 1, 1, 5, None), (2, 2, 2, 1, 5, 3.0), (3, 1, 1, 1, 5, None), (3, 2, 2, 1, 5, None)],
+        "squad_id int, " + columns).withColumnRenamed("price_ticks", "sell_ticks")
+    money = spark.createDataFrame([(1, 1.5), (2, 1.0), (3, 1.0)], "squad_id int, budget double")
+    out = {r["squad_id"]: r for r in best_single_swap(members, pool, rules, money, 15).collect()}
+    assert set(out) == {1, 2}  # no option of the third squad has a value
+    assert (out[1]["out_id"], out[1]["in_id"]) == (1, 3)
+    assert out[1]["objective"] == pytest.approx(0.1 * 21 + 0.9 * 18 + 9)
+    assert out[1]["without"] == pytest.approx(0.1 * 7 + 0.9 * 5 + 3)
+    assert (out[2]["out_id"], out[2]["in_id"], out[2]["without"]) == (1, 3, None)
+
+
 def test_captain_fallback_value(spark, players):
     pair = spark.createDataFrame(
         [(1, 19.0, 16.0, 0.0, 1.0)], "squad_id int, c1 double, v1 double, pc double, pv double")

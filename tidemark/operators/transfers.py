@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tidemark.functions.numeric import ticks
 from tidemark.operators.guards import ContractError, require_no_rows
 from tidemark.operators.rules import SquadRules
-from tidemark.operators.squads import _ranked
+from tidemark.session import ship
 
 PRICE_SCALE = 10
 # Entries of a short list that are tried one by one before the rest is searched.
 TRIED = 6
+# Members of changed squads that a task values at a time; one squad's option may have more.
+VALUED = 1 << 18
 
 
 def selling_prices(
@@ -201,27 +208,98 @@ def best_replacements(
         F.col("points").alias("in_points"), F.col("club_id").alias("in_club"))
 
 
-def squad_value(members: Column, rules: SquadRules, bench_weight: float) -> Column:
-    """``w * squad + (1 - w) * line-up + captain`` of the best formation.
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """Sizes of the lists (0 for null) and their entries."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, lists.flatten()
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values, 0 where null, and which are null."""
+    return (column.fill_null(0).to_numpy(zero_copy_only=False),
+            column.is_null().to_numpy(zero_copy_only=False))
 
-    ``members`` is an array of ``struct(id, position, points)``. Each formation
-    is valued with the best starter of its positions as captain.
+
+def option_values(
+    sizes: np.ndarray, position: np.ndarray, points: np.ndarray, rules: SquadRules,
+    bench_weight: float,
+) -> tuple[np.ndarray, np.ndarray]:
+    """``w * squad + (1 - w) * line-up + captain`` of the best formation, and if there is one.
+
+    Squads follow each other with ``sizes`` members each (at least one); ``position``
+    is the place in ``rules.positions`` or -1. Each formation is valued with the best
+    starter of its positions as captain.
+    """
+    n, kinds = len(sizes), len(rules.positions)
+    most = max(p.maximum_starters for p in rules.positions)
+    everyone = np.add.reduceat(points, np.cumsum(sizes) - sizes)
+    squad = np.repeat(np.arange(n), sizes)
+    group = squad * kinds + position
+    known = position >= 0
+    group, ranked = group[known], points[known]
+    order = np.lexsort((-ranked, group))
+    group, ranked = group[order], ranked[order]
+    counts = np.bincount(group, minlength=n * kinds)
+    rank = np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
+    top = np.zeros((n * kinds, most))
+    starts = rank < most
+    top[group[starts], rank[starts]] = ranked[starts]
+    heads = top[:, 0].reshape(n, kinds) if most else np.zeros((n, kinds))
+    sums = np.concatenate([np.zeros((n * kinds, 1)), np.cumsum(top, axis=1)], axis=1)
+    sums, counts = sums.reshape(n, kinds, most + 1), counts.reshape(n, kinds)
+    best, fielded = np.full(n, -np.inf), np.zeros(n, dtype=bool)
+    for formation in rules.formations():
+        full = (counts >= np.array(formation)).all(axis=1)
+        eleven = sum(sums[:, i, c] for i, c in enumerate(formation))
+        captain = np.max([heads[:, i] for i, c in enumerate(formation) if c], axis=0)
+        value = (1.0 - bench_weight) * eleven + captain
+        best = np.where(full, np.maximum(best, value), best)
+        fielded |= full
+    return bench_weight * everyone + best, fielded
+
+
+def _valued(
+    batches: Iterator[pa.RecordBatch], rules: SquadRules, bench_weight: float, hits: tuple[float, float],
+) -> Iterator[pa.RecordBatch]:
+    """Every squad with its options' objectives: of no swap first, then of each offer.
+
+    An objective is null if a member has no points or no formation can be fielded.
     """
-    ranked = [_ranked(members, p.position_id) for p in rules.positions]
-    everyone = F.aggregate(members, F.lit(0.0), lambda s, m: s + m["points"])
-    options = []
-    for counts in rules.formations():
-        full, picks, heads = F.lit(True), [], []
-        for r, n in zip(ranked, counts):
-            full = full & (F.size(r) >= n)
-            if n:
-                picks.append(F.slice(r, 1, n))
-                heads.append(-F.get(r, 0)["loss"])
-        eleven = F.aggregate(F.concat(*picks), F.lit(0.0), lambda s, m: s - m["loss"])
-        captain = F.greatest(*heads) if len(heads) > 1 else heads[0]
-        options.append(F.when(full, (1.0 - bench_weight) * eleven + captain))
-    best = F.greatest(*options) if len(options) > 1 else options[0]
-    return bench_weight * everyone + best
+    for batch in batches:
+        m_size, m = _flat(batch.column("__m"))
+        o_size, o = _flat(batch.column("__offers"))
+        (m_id, m_none), (place, _) = _numbers(m.field("id")), _numbers(m.field("place"))
+        points, unknown = _numbers(m.field("points"))
+        (gone, kept), (gain, unsure) = _numbers(o.field("out_id")), _numbers(o.field("in_points"))
+        m_start, o_start = np.cumsum(m_size) - m_size, np.cumsum(o_size) - o_size
+        options = o_size + 1
+        squad = np.repeat(np.arange(len(m_size)), options)
+        nth = np.arange(len(squad)) - np.repeat(np.cumsum(options) - options, options)
+        offer = np.where(nth > 0, o_start[squad] + nth - 1, -1)
+        objective, valid = np.zeros(len(squad)), np.zeros(len(squad), dtype=bool)
+        ends = np.cumsum(m_size[squad])
+        at = 0
+        while at < len(squad):
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + VALUED, "right")))
+            size, swap = m_size[squad[at:stop]], offer[at:stop]
+            member = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(
+                m_start[squad[at:stop]], size)
+            mine = np.repeat(swap, size)
+            replaced = np.zeros(len(mine), dtype=bool)
+            if len(gone):
+                replaced = (mine >= 0) & ~kept[mine] & ~m_none[member] & (m_id[member] == gone[mine])
+            after, missing = points[member], unknown[member]
+            after[replaced], missing[replaced] = gain[mine[replaced]], unsure[mine[replaced]]
+            value, fielded = option_values(size, place[member], after, rules, bench_weight)
+            swaps = (swap >= 0) & ~kept[swap] if len(gone) else np.zeros(len(swap), dtype=bool)
+            objective[at:stop] = value - np.where(swaps, hits[1], hits[0])
+            valid[at:stop] = fielded & ~np.logical_or.reduceat(missing, np.cumsum(size) - size)
+            at = stop
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.append(0, np.cumsum(options)), pa.int32()), pa.array(objective, mask=~valid))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("__squad"), batch.column("__offers"), lists], ["__squad", "__offers", "__worth"])
 
 
 def best_single_swap(
@@ -247,33 +325,34 @@ def best_single_swap(
         "limit_ticks", F.col("__budget") - F.col("__held_ticks") + F.col("sell_ticks"))
     offers = best_replacements(
         spendable.filter("limit_ticks >= 0"), pool, max_price, rules.max_per_club, squad_id)
+    place = F.lit(-1)
+    for i, p in reversed(list(enumerate(rules.positions))):
+        place = F.when(F.col("position_id") == F.lit(p.position_id), i).otherwise(place)
     packed = members.groupBy(squad_id).agg(F.collect_list(F.struct(
-        F.col("player_id").alias("id"), F.col("position_id").alias("position"),
+        F.col("player_id").cast("bigint").alias("id"), place.alias("place"),
         F.col("points").cast("double").alias("points"))).alias("__m"))
-    choices = offers.groupBy(squad_id).agg(
-        F.collect_list(F.struct("out_id", "in_id", "in_points")).alias("__offers"))
-    options = packed.join(choices, squad_id, "left").withColumn("__o", F.explode(F.concat(
-        F.array(F.struct(
-            F.lit(None).cast("bigint").alias("out_id"), F.lit(None).cast("bigint").alias("in_id"),
-            F.lit(None).cast("double").alias("in_points"))),
-        F.coalesce("__offers", F.array().cast(
-            "array<struct<out_id:bigint,in_id:bigint,in_points:double>>")))))
-    after = F.transform("__m", lambda m: F.when(
-        F.col("__o.out_id").isNotNull() & (m["id"] == F.col("__o.out_id")),
-        F.struct(F.col("__o.in_id").alias("id"), m["position"].alias("position"),
-                 F.col("__o.in_points").alias("points"))).otherwise(m))
-    count = F.col("__o.out_id").isNotNull().cast("int")
-    hit = F.greatest(count - F.lit(free_transfers), F.lit(0)) * F.lit(float(hit_cost))
-    valued = options.withColumn("__after", after).select(
-        squad_id, "__o.out_id", "__o.in_id",
-        (squad_value(F.col("__after"), rules, bench_weight) - hit).alias("objective"))
-    rank = F.struct(
-        F.round("objective", 9).alias("worth"), F.coalesce(-F.col("in_id"), F.lit(0)).alias("minus_in"),
-        F.coalesce(-F.col("out_id"), F.lit(0)).alias("minus_out"))
-    picked = valued.filter("objective IS NOT NULL").groupBy(squad_id).agg(
-        F.max_by(F.struct("out_id", "in_id", "objective"), rank).alias("__w"),
-        F.max(F.when(F.col("out_id").isNull(), F.col("objective"))).alias("without"))
-    return picked.select(squad_id, "__w.*", "without")
+    choices = offers.groupBy(squad_id).agg(F.collect_list(F.struct(
+        F.col("out_id").cast("bigint").alias("out_id"), F.col("in_id").cast("bigint").alias("in_id"),
+        "in_points")).alias("__offers"))
+    options = packed.join(choices, squad_id, "left").select(
+        F.col(squad_id).alias("__squad"), "__m", F.coalesce("__offers", F.array().cast(
+            "array<struct<out_id:bigint,in_id:bigint,in_points:double>>")).alias("__offers"))
+    hits = tuple(max(count - free_transfers, 0) * float(hit_cost) for count in (0, 1))
+    schema = StructType([options.schema["__squad"], options.schema["__offers"],
+                         StructField("__worth", ArrayType(DoubleType()))])
+    ship(options.sparkSession)
+    valued = options.mapInArrow(lambda rows: _valued(rows, rules, bench_weight, hits), schema)
+    every = F.expr(
+        "filter(transform(__worth, (w, i) -> named_struct('worth', round(w, 9), "
+        "'minus_in', coalesce(-get(__offers, i - 1).in_id, 0), "
+        "'minus_out', coalesce(-get(__offers, i - 1).out_id, 0), "
+        "'out_id', get(__offers, i - 1).out_id, 'in_id', get(__offers, i - 1).in_id, "
+        "'objective', w)), o -> o.objective IS NOT NULL)")
+    picked = valued.select("__squad", every.alias("__all")).select(
+        F.col("__squad").alias(squad_id), F.array_max("__all").alias("__w"), F.array_max(F.expr(
+            "transform(filter(__all, o -> o.out_id IS NULL), o -> o.objective)")).alias("without"))
+    return picked.filter("__w IS NOT NULL").select(
+        squad_id, "__w.out_id", "__w.in_id", "__w.objective", "without")
 
 
 def transfer_summary(

@@ -7,6 +7,7 @@ import pytest
 from cases import empty, odd, odd_rows, plain, small_docs
 from tokenizers import Tokenizer
 
+from tidemark.llm import bpe
 from tidemark.llm.bpe import Encoder, encode_documents, join_tree, token_digests
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -57,3 +58,32 @@ def test_odd_rows(spark, library):
     assert token_digests(empty(spark), PATH).count() == 0
     ids = encode_documents(plain(spark, [(1, "Hello"), (2, None)]), PATH).orderBy("doc_id").collect()
     assert ids[0]["ids"] == library.encode("Hello", add_special_tokens=False).ids and ids[1]["ids"] == []
+
+
+def test_new_chunks_share_one_call(library, monkeypatch):
+    """Chunks not met before are encoded together, once; a full memory keeps what was met last."""
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode(self, text, **more):
+            calls.append(text)
+            return library.encode(text, **more)
+
+        def encode_batch_fast(self, rows, **more):
+            calls.extend(rows)
+            return library.encode_batch_fast(rows, **more)
+
+    encoder = Encoder(PATH)
+    encoder.library = Counted()
+    chunks = ["Hello,", "éá", "<|endoftext|>x", "́b", "İß", "日本語", "Hello,", "it's", "​", "y" * 70]
+    want = [np.array(library.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks]
+    assert encoder.chunks(chunks) == want and len(calls) == 1
+    assert encoder.chunks(chunks[:9]) == want[:9] and len(calls) == 1
+    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    assert encoder.chunks(["new"]) == encoder.chunks(["new"]) and len(calls) == 2
+    assert encoder.chunks(chunks[:9]) == want[:9] and len(calls) == 2
+    whole = library.encode(" ".join(chunks), add_special_tokens=False).ids
+    assert encoder.decode(b"".join(want)) == library.decode(whole, skip_special_tokens=False)

@@ -21,7 +21,7 @@ from tidemark.llm.common import texts, written
 LEAF = 32_768
 # Code points on either side of a join that are encoded again at first.
 MARGIN = 32
-# Chunks without white space up to this length are remembered by a worker, this many at most.
+# Chunks without white space up to this length are remembered by a worker, twice this many at most.
 CHUNK, REMEMBERED = 64, 250_000
 
 # White space to Python's split() but not to the tokenizer's patterns.
@@ -59,26 +59,43 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # Without a decoder a text is its tokens' texts with spaces between.
+        self.words: list[str] | None = None
+        if self.library.decoder is None:
+            size = 1 + max(self.library.get_vocab(with_added_tokens=True).values())
+            self.words = [self.library.decode([i], skip_special_tokens=False) for i in range(size)]
 
     def _whole(self, rows: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(rows, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        memory = self.memory
-        new = [c for c in dict.fromkeys(chunks) if c not in memory]
-        fresh = dict(zip(new, self._whole(new)))
-        out = [memory[c] if c in memory else fresh[c] for c in chunks]
-        if len(memory) + len(fresh) > REMEMBERED:
-            memory.clear()
-        memory.update((c, i) for c, i in fresh.items() if len(c) <= CHUNK)
-        return out
+    def _together(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, from one call on all of them with white space between: a call costs
+        far more than a chunk. A token belongs to the chunk that it starts in."""
+        found = self.library.encode(" ".join(chunks), add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4").tobytes()
+        places = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
+        cuts = (4 * np.searchsorted(places, ends)).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
-        try:
-            return list(map(self.memory.__getitem__, chunks))
-        except KeyError:
-            return self._learn(chunks)
+        out = list(map(self.memory.get, chunks))
+        if None not in out:
+            return out
+        places = [i for i, ids in enumerate(out) if ids is None]
+        known = {chunks[i]: None for i in places}
+        known = {c: self.older.get(c) for c in known}
+        new = [c for c, ids in known.items() if ids is None]
+        if new:
+            known.update(zip(new, self._together(new)))
+        for i in places:
+            out[i] = known[chunks[i]]
+        if len(self.memory) + len(known) > REMEMBERED:  # what is met again comes back from the older half
+            self.memory, self.older = {}, self.memory
+        self.memory.update((c, ids) for c, ids in known.items() if len(c) <= CHUNK)
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -87,6 +104,8 @@ class Encoder:
         return b"".join(self.chunks(text.split()))
 
     def decode(self, ids: bytes) -> str:
+        if self.words is not None:
+            return " ".join(map(self.words.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
         return self.library.decode(np.frombuffer(ids, dtype="<u4").tolist(), skip_special_tokens=False)
 
     def _tokens(self, text: str) -> tuple[list[tuple[int, int]], list[bytes]]:

@@ -64,3 +64,18 @@ def test_proximity(spark):
     assert found == {(1, 0, 6), (4, 0, 4)}
     assert {tuple(r) for r in proximity_matches(index, ["red", "blue"], 2).collect()} == {(2, 0, 2), (4, 2, 2)}
     assert proximity_matches(index, ["absent", "red"], 9).count() == 0
+
+
+def test_index_is_deleted_once_documents_are_judged(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        bench = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
+        kept = without_contaminated(plain(spark, small_docs()), bench)
+        assert not [p for p in tmp_path.iterdir() if p.name.startswith("llm-positions")]
+        assert kept.count() == len(small_docs())
+    finally:
+        if before is None:
+            spark.conf.unset("spark.checkpoint.dir")
+        else:
+            spark.conf.set("spark.checkpoint.dir", before)

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts, written
+from tidemark.llm.common import discard, texts, written
 
 WINDOW = 13
 # Words of one index row, more only if a single document has more.
@@ -282,6 +282,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
     Rows that repeat a doc_id are one document: it goes if any of them is contaminated.
     """
-    bad = (contamination(docs, benchmark, window).where("contaminated")
-           .select(F.col("doc_id").alias("bad_id")).distinct())
+    found = contamination(docs, benchmark, window)
+    bad = written(found.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct(), "bad")
+    discard(found)  # the index
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")

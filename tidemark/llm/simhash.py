@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stars, texts, written
+from tidemark.llm.common import discard, stars, texts, written
 from tidemark.llm.components import components
 
 BITS = 64
@@ -158,6 +158,7 @@ def one_per_group(docs: DataFrame, radius: int = 3) -> DataFrame:
     The row with the smallest doc_id stays. Rows repeating that doc_id stay too: a
     repeated id is one document. Null ids stay only where the component has no id.
     """
-    kept = (near_duplicates(docs, radius).where("doc_id <=> component_id")
-            .select(F.col("doc_id").alias("kept_id")).distinct())
+    found = near_duplicates(docs, radius)
+    kept = written(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    discard(found)  # fingerprints and links
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

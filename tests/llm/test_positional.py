@@ -3,6 +3,7 @@ import re
 import duckdb
 from cases import SMALL, empty, odd, odd_rows, plain, small_docs
 
+from tidemark.llm import common
 from tidemark.llm.positional import (build_index, contamination, exact_phrases, proximity_matches,
                                      without_contaminated)
 
@@ -66,16 +67,9 @@ def test_proximity(spark):
     assert proximity_matches(index, ["absent", "red"], 9).count() == 0
 
 
-def test_index_is_deleted_once_documents_are_judged(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        bench = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
-        kept = without_contaminated(plain(spark, small_docs()), bench)
-        assert not [p for p in tmp_path.iterdir() if p.name.startswith("llm-positions")]
-        assert kept.count() == len(small_docs())
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+def test_index_is_deleted_once_documents_are_judged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    bench = spark.createDataFrame([("a", "qqq www eee")], "item_id string, text string")
+    kept = without_contaminated(plain(spark, small_docs()), bench)
+    assert [p.name.split("-")[1] for p in tmp_path.iterdir()] == ["bad"]
+    assert kept.count() == len(small_docs())

@@ -1,8 +1,11 @@
 """Run store, payloads, inventories, set operations."""
 
 import datetime as dt
+import gzip
+import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import DataFrameWriter
@@ -14,9 +17,9 @@ from tidemark.operators.guards import ContractError, validate_horizons
 from tidemark.operators.managers import pick_violations
 from tidemark.operators.sets import disjoint_union
 from tidemark.queries.pipelines import q_csv_archive
-from tidemark.session import plain_scan
+from tidemark.session import plain_scan, setting
 from tidemark.sources import payloads
-from tidemark.sources.archive import file_inventory, relative_to, verify_inventory
+from tidemark.sources.archive import MARK, file_inventory, relative_to, verify_inventory
 from tidemark.sources.runs import (
     committed_runs,
     load_training,
@@ -162,6 +165,27 @@ def test_inventory_detects_tampering(spark, tmp_path):
     assert status == {"a.csv": "checksum differs", "b.csv": "missing", "c.csv": "unexpected"}
 
 
+def test_inventory_streams_large_files(spark, tmp_path):
+    noise = random.Random(3).randbytes
+    files = {
+        "a b+%41.parquet": noise(300_000), "ends.parquet": noise(5_000) + b"\n\n",
+        "feeds.csv": b"a\r\nb\r\rc" * 3_000, "marked.csv": MARK + b"a,b\n" * 3_000,
+        "marked_too.csv": MARK + b"a,b\n" * 3_000 + b"c", "packed.csv.gz": gzip.compress(noise(50_000)),
+        "plain": noise(200_000), "twin.parquet": noise(300_000), "other.zä": noise(9_000),
+        "small.csv": b"a,b\n", "sub/part-0": noise(70_000)}
+    (tmp_path / "sub").mkdir()
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    expected = sorted((n, len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items())
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "20000"), \
+            setting(spark, "spark.sql.sources.binaryFile.maxLength", "4096"):
+        found = relative_to(file_inventory(spark, str(tmp_path), whole=4096), str(tmp_path))
+        assert sorted(map(tuple, found.select("relative_path", "bytes", "sha256").collect())) == expected
+        some = relative_to(file_inventory(spark, str(tmp_path), "*.parquet", whole=4096), str(tmp_path))
+        assert sorted(map(tuple, some.select("relative_path", "bytes", "sha256").collect())) == [
+            e for e in expected if e[0].endswith(".parquet")]
+
+
 def test_overlap_is_refused(spark):
     a = spark.createDataFrame([(1, 2)], "k int, x int")
     b = spark.createDataFrame([(2, "u")], "k int, y string")
